@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from leaguelens.catalog import basics  # noqa: F401
+from leaguelens.catalog import analytics, basics, reporting  # noqa: F401
 from leaguelens.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

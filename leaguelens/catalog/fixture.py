@@ -18,7 +18,7 @@ fact0 AS (
     CAST(n.n_regionkey AS BIGINT) AS pool_id,
     CAST(year(l.l_shipdate) AS INTEGER) AS season, CAST(month(l.l_shipdate) AS INTEGER) AS period_num,
     CAST(year(l.l_shipdate) * 100 + month(l.l_shipdate) AS BIGINT) AS period_id,
-    round(avg(l.l_extendedprice / nullif(l.l_quantity, 0)) / 100, 4) AS price,
+    round(avg(l.l_extendedprice / nullif(l.l_quantity, 0)) / 100 + 1e-9, 4) AS price,
     round(sum(l.l_quantity * (1 - l.l_discount)) / 10, 4) AS points
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY ALL)"""
@@ -65,7 +65,7 @@ def base_fact(spark: SparkSession, folder: str) -> DataFrame:
             F.month("l_shipdate").alias("period_num"),
         )
         .agg(
-            F.round(F.avg(F.col("l_extendedprice") / F.nullif(q, F.lit(0.0))) / 100, 4).alias("price"),
+            F.round(F.avg(F.col("l_extendedprice") / F.nullif(q, F.lit(0.0))) / 100 + 1e-9, 4).alias("price"),
             F.round(F.sum(q * (1 - d)) / 10, 4).alias("points"),
         )
     )

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.param import ParamMap
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ from leaguelens.operators.aggregates import error_metrics
 from leaguelens.operators.common import Order, number_rows
 from leaguelens.operators.keys import next_run_id
 
+ParamMap = dict
+
 # ------------------------------------------------------------------ splits and baselines
 
 

@@ -15,12 +15,11 @@ as in the black-box fast multipole method of Fong and Darve, 2009).
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaguelens.operators.aggregates import group_agg
@@ -34,7 +33,7 @@ from leaguelens.operators.common import (
 )
 from leaguelens.operators.ordering import best_row, dense_index
 from leaguelens.operators.windows import forward_fill, group_max
-from leaguelens.session import checkpointed
+from leaguelens.session import shared_folder
 
 PERIOD_ROWS = 20_000  # entities of one period a task may compare directly
 DEGREE = 16
@@ -284,16 +283,10 @@ def _fold(entity: str, params: RatingParams):
     return fold
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints, readable by every executor."""
-    checkpointed(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/rating-{uuid.uuid4().hex}"
-
-
 def _by_period(rows: DataFrame, pool: list[str], entity: str, params, period_rows) -> DataFrame:
     """One Spark job per period; every step is a written table, so a lost executor costs one step."""
     spark = rows.sparkSession
-    home = _shared_folder(spark)
+    home = shared_folder(spark, "rating")
     steps = dense_index(rows, [], "__order", "__step").drop("__order")
     steps.write.partitionBy("__step").parquet(f"{home}/results")
     results = spark.read.parquet(f"{home}/results")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,19 +39,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return tune(spark)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary one: executors of a cluster could
-    not read a folder of the driver's machine.
+    It is the cluster's ``spark.checkpoint.dir``. Only a local session without
+    that setting gets a temporary one: executors of a cluster could not read a
+    folder of the driver's machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="leaguelens-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints, readable by every executor."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

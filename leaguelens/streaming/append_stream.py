@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,9 +20,10 @@ def stream_append_new(stream: DataFrame, target: str, keys: Order, checkpoint: s
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        # an empty append creates the target on the first run
-        spark.createDataFrame([], schema).write.mode("append").parquet(target)
-        held = spark.read.schema(schema).parquet(target)
+        try:
+            held = spark.read.schema(schema).parquet(target)
+        except AnalysisException:  # nothing written yet
+            held = spark.createDataFrame([], schema)
         new_rows(batch, held, keys).write.mode("append").parquet(target)
 
     return (
