@@ -171,10 +171,14 @@ def matchup_totals(
     rating: str = "rating_before",
     params: RatingParams = RatingParams(),
     period_rows: int = PERIOD_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Expected and actual score of each entity against its whole group, and the change."""
+    """Expected and actual score of each entity against its whole group, and the change.
+
+    ``largest`` is the size of the largest group, if it is known already.
+    """
     group = as_list(group)
-    if largest_group(df, group) > period_rows:
+    if (largest_group(df, group) if largest is None else largest) > period_rows:
         out = actual_by_counts(df, group, position, "actual")
         out = expected_by_cells(out, group, rating, "expected", params)
     else:
@@ -222,7 +226,9 @@ def rating_step(
     rows = rows.withColumns({"rating_before": before, "changes": now.cast("int")}).drop(
         "__prev", "__changes", "rating", "last_season"
     )
-    rated = matchup_totals(rows, [*pool, "season", "period_id"], entity, params=params, period_rows=period_rows)
+    group = [*pool, "season", "period_id"]
+    largest = largest_group(results, group)  # of the bare results: no join is run for it
+    rated = matchup_totals(rows, group, entity, params=params, period_rows=period_rows, largest=largest)
     return rated.withColumn("rating_after", F.col("rating_before") + F.col("rating_delta"))
 
 
