@@ -744,14 +744,17 @@ def _(spark, d):
     return rows.select("pool_id", "season", "period_id", "entity", "rating_position")
 
 
+_SCORE = "CASE WHEN a.position < b.position THEN 1.0 WHEN a.position = b.position THEN 0.5 ELSE 0.0 END::DOUBLE"
+_EXPECT = "1 / (1 + pow(10, (b.rating_before - a.rating_before) / 400))"
+
+
 @query(
     "g8_matchup_totals",
     f"""WITH {FACT} SELECT a.pool_id, a.period_id, a.entity_id,
-{rnd("sum(1 / (1 + pow(10, (b.rating_before - a.rating_before) / 400)))")} AS expected,
-{rnd("sum(CASE WHEN a.position < b.position THEN 1.0 WHEN a.position = b.position THEN 0.5 ELSE 0.0 END::DOUBLE)")} AS actual,
-{rnd('''8 * sum((CASE WHEN a.position < b.position THEN 1.0 WHEN a.position = b.position THEN 0.5 ELSE 0.0 END::DOUBLE)
-- 1 / (1 + pow(10, (b.rating_before - a.rating_before) / 400)))''')} AS rating_delta
-FROM fact a JOIN fact b ON a.pool_id = b.pool_id AND a.period_id = b.period_id AND a.entity_id <> b.entity_id GROUP BY ALL""",
+{rnd(f"coalesce(sum({_EXPECT}), 0)")} AS expected,
+{rnd(f"coalesce(sum({_SCORE}) FILTER (b.entity_id IS NOT NULL), 0)")} AS actual,
+{rnd(f"8 * (coalesce(sum({_SCORE}) FILTER (b.entity_id IS NOT NULL), 0) - coalesce(sum({_EXPECT}), 0))")} AS rating_delta
+FROM fact a LEFT JOIN fact b ON a.pool_id = b.pool_id AND a.period_id = b.period_id AND a.entity_id <> b.entity_id GROUP BY ALL""",
 )
 def _(spark, d):
     rows = checkpointed(fact(spark, d).select("pool_id", "period_id", "entity_id", "position", "rating_before"))

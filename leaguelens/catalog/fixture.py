@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.operators.common import number_rows
+from leaguelens.operators.common import GROUP_ROWS, fits_one_task, number_rows
 from leaguelens.sources.tables import read_table
 
 FACT0 = """
@@ -90,9 +90,13 @@ def base_fact(spark: SparkSession, folder: str) -> DataFrame:
 def fact(spark: SparkSession, folder: str) -> DataFrame:
     """The fact with positions, seeds and stand-in ratings."""
     grid = ["pool_id", "period_id"]
-    # the range plan of number_rows is only needed where a grid outgrows a task
-    out = number_rows(base_fact(spark, folder), grid, ["-price", "entity_id"], "seed_position")
-    out = number_rows(out, grid, ["-points", "entity_id"], "position")
+    # an entity is once in a grid, so the size of its pool bounds the grid
+    pools = read_table(spark, folder, "supplier").join(
+        read_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    limit = None if fits_one_task(pools, "n_regionkey", GROUP_ROWS) else GROUP_ROWS
+    out = number_rows(base_fact(spark, folder), grid, ["-price", "entity_id"], "seed_position", limit)
+    out = number_rows(out, grid, ["-points", "entity_id"], "position", limit)
     e, s, p = F.col("entity_id"), F.col("season"), F.col("period_num")
     return out.withColumns(
         {

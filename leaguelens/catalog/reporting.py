@@ -113,6 +113,7 @@ def _(spark, d):
 def _config(spark, d):
     rows = fact(spark, d).filter("position <= 3")
     top = rows.groupBy(F.concat(F.lit("pool "), F.col("pool_id").cast("string")).alias("selection_name"), "period_id")
+    # a grid with fewer entities leaves slots empty
     picks = [F.max(F.when(F.col("position") == i, F.col("entity_id"))).alias(f"entity_{i}_id") for i in (1, 2, 3)]
     return top.agg(*picks, F.max(F.when(F.col("position") == 1, F.col("team_id"))).alias("team_1_id"))
 

@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaguelens.operators.common import GROUP_ROWS, Order, as_list, attach, fits_one_task, number_rows
+from leaguelens.operators.common import (
+    GROUP_ROWS,
+    Order,
+    as_list,
+    attach,
+    fits_one_task,
+    number_rows,
+    window,
+)
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
@@ -91,30 +99,37 @@ def dist_summary(
 ) -> DataFrame:
     """Count, mean, sample deviation and exact (interpolated) quantiles.
 
-    ``percentile`` keeps a group's distinct values in one task. For larger
-    groups the values are ranked by a range-partitioned sort and only the two
-    ranks around each quantile are read.
+    Values are ranked and the two ranks around each quantile are read. Ranking
+    sorts, which spills; ``percentile`` would hold a group's distinct values in
+    memory. Groups beyond ``max_group_rows`` are ranked by a range-partitioned
+    sort; there ``tie`` makes the order total.
     """
-    keys, names = as_list(keys), [quantile_name(q) for q in qs]
+    keys = as_list(keys)
     moments = {
         "n": F.count(col),
         f"mean_{col}": F.avg(col),
         f"std_{col}": F.stddev_samp(col),
     }
+    order = [col, *as_list(tie)]
+    at = {quantile_name(q): 1 + q * (F.col("__n") - 1) for q in qs}
+    picks = {}
+    for name, rank in at.items():
+        lo = F.max(F.when(F.col("__rn") == F.floor(rank), F.col(col)))
+        hi = F.max(F.when(F.col("__rn") == F.ceil(rank), F.col(col)))
+        picks[name] = lo + (hi - lo) * F.max(rank - F.floor(rank))
     if fits_one_task(df, keys, max_group_rows):
-        arr = F.percentile(col, F.array(*[F.lit(float(q)) for q in qs]))
-        out = group_agg(df, keys, {**moments, "__q": arr})
-        return out.withColumns({n: F.col("__q")[i] for i, n in enumerate(names)}).drop("__q")
+        # NULLs rank behind the values, so no quantile picks them
+        ranked = df.withColumns(
+            {
+                "__rn": F.row_number().over(window(keys, order)),
+                "__n": F.count(col).over(Window.partitionBy(*keys)),
+            }
+        )
+        return group_agg(ranked, keys, {**moments, **picks})
     base = group_agg(df, keys, moments)
-    values = df.filter(F.col(col).isNotNull()).select(*keys, col, *as_list(tie))
-    ranked = number_rows(values, keys, [col, *as_list(tie)], "__rn", max_group_rows=0)
-    placed = attach(ranked, base.select(*keys, "n"), keys)
-    picks = {}
-    for q, name in zip(qs, names, strict=True):
-        at = 1 + q * (F.col("n") - 1)
-        lo = F.max(F.when(F.col("__rn") == F.floor(at), F.col(col)))
-        hi = F.max(F.when(F.col("__rn") == F.ceil(at), F.col(col)))
-        picks[name] = lo + (hi - lo) * F.max(at - F.floor(at))
+    values = df.filter(F.col(col).isNotNull()).select(*keys, *order)
+    ranked = number_rows(values, keys, order, "__rn", max_group_rows=0)
+    placed = attach(ranked, base.select(*keys, F.col("n").alias("__n")), keys)
     return attach(base, group_agg(placed, keys, picks), keys)
 
 

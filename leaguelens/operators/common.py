@@ -53,6 +53,16 @@ def largest_group(df: DataFrame, keys: Order) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def spread(df: DataFrame, keys: Order) -> DataFrame:
+    """Hash-partition by ``keys`` before costly work per group.
+
+    The number of partitions is explicit, so that adaptive execution does not
+    merge groups of few bytes but much computation into one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *as_list(keys))
+
+
 def fits_one_task(df: DataFrame, keys: Order, limit: int | None) -> bool:
     """True when every group is known to fit one task.
 

@@ -128,7 +128,7 @@ def preprocessor(feats: Features) -> list:
         index = [f"{c}__i" for c in feats.categorical]
         hot = [f"{c}__h" for c in feats.categorical]
         stages.append(StringIndexer(inputCols=feats.categorical, outputCols=index, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True))
         parts += hot
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 

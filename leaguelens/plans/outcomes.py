@@ -71,25 +71,31 @@ def bootstrap_outcomes(
     """
     bucket = "prediction_bucket"
     scores = scores.filter(F.col("predicted_points").isNotNull())
-    sizes = residual_rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("__size"))
-    missing = scores.select(bucket).distinct().join(sizes, bucket, "left_anti").limit(5).collect()
+    # one entry per band: the size of each pool
+    sizes = {r[0]: r[1] for r in residual_rows.groupBy(bucket).count().collect()}
+    asked = [r[0] for r in scores.select(bucket).distinct().collect()]
+    missing = [b for b in asked if b not in sizes]
     if missing:
-        raise KeyError(f"no residuals for {[r[0] for r in missing]}")
+        raise KeyError(f"no residuals for {missing}")
+    fits = max_group_rows is None or max(sizes.values(), default=0) <= max_group_rows
     pool = number_rows(
         residual_rows.select(bucket, "residual", *as_list(tie)),
         bucket,
         ["residual", *as_list(tie)],
         "__idx",
-        max_group_rows,
+        None if fits else 0,
     ).select(bucket, (F.col("__idx") - 1).alias("__idx"), F.col("residual").alias("sampled_residual"))
     sims = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long")))
-    drawn = scores.join(sizes, bucket).withColumn("simulation_id", sims)
+    size = F.lit(None).cast("long")
+    for name, n in sizes.items():
+        size = F.when(F.col(bucket) == name, F.lit(n).cast("long")).otherwise(size)
     key = (F.col("entity_id") * 613 + F.col("period_id")) % 2147483647
-    drawn = drawn.withColumn("__idx", draw_index(key, F.col("simulation_id"), seed, F.col("__size")))
+    drawn = scores.withColumn("simulation_id", sims)
+    drawn = drawn.withColumn("__idx", draw_index(key, F.col("simulation_id"), seed, size))
     return (
         drawn.join(pool, [bucket, "__idx"])
         .withColumn("simulated_points", F.col("predicted_points") + F.col("sampled_residual"))
-        .drop("__idx", "__size")
+        .drop("__idx")
     )
 
 

@@ -30,6 +30,7 @@ from leaguelens.operators.common import (
     attach,
     largest_group,
     running_total,
+    spread,
 )
 from leaguelens.operators.ordering import best_row, dense_index
 from leaguelens.operators.windows import forward_fill, group_max
@@ -78,12 +79,12 @@ def resolve_positions(
 # ------------------------------------------------------------------ one period
 
 
-def expected_directly(rating: np.ndarray, spread: float) -> np.ndarray:
+def expected_directly(rating: np.ndarray, scale: float) -> np.ndarray:
     """Expected score of each rating against all others."""
     out = np.empty(len(rating))
     for i in range(0, len(rating), 1024):
         gap = rating[None, :] - rating[i : i + 1024, None]
-        out[i : i + 1024] = (1.0 / (1.0 + np.power(10.0, gap / spread))).sum(axis=1)
+        out[i : i + 1024] = (1.0 / (1.0 + np.power(10.0, gap / scale))).sum(axis=1)
     return out - 0.5
 
 
@@ -95,15 +96,15 @@ def actual_directly(position: np.ndarray) -> np.ndarray:
     return behind + 0.5 * (level - 1)
 
 
-def _kernels(spread: float) -> np.ndarray:
+def _kernels(scale: float) -> np.ndarray:
     """Per cell offset: source cell moments to target cell coefficients."""
-    width = spread / 4
+    width = scale / 4
     order = np.arange(DEGREE)
     node = np.cos(np.pi * (order + 0.5) / DEGREE)
     basis = np.cos(np.outer(np.arccos(node), order)) * np.where(order == 0, 1, 2) / DEGREE
     offset = np.arange(-REACH, REACH + 1)[:, None, None]
     gap = width * (offset + (node[:, None] - node[None, :]) / 2)
-    kernel = 1.0 / (1.0 + np.power(10.0, -gap / spread))
+    kernel = 1.0 / (1.0 + np.power(10.0, -gap / scale))
     return basis.T @ kernel @ basis
 
 
@@ -182,16 +183,16 @@ def matchup_totals(
         out = actual_by_counts(df, group, position, "actual")
         out = expected_by_cells(out, group, rating, "expected", params)
     else:
-        spread = params.spread
+        scale = params.spread
 
         def score(pdf: pd.DataFrame) -> pd.DataFrame:
             return pdf.assign(
                 actual=actual_directly(pdf[position].to_numpy(float)),
-                expected=expected_directly(pdf[rating].to_numpy(float), spread),
+                expected=expected_directly(pdf[rating].to_numpy(float), scale),
             )
 
         schema = df.withColumns({"actual": F.lit(0.0), "expected": F.lit(0.0)}).schema
-        out = df.groupBy(*group).applyInPandas(score, schema)
+        out = spread(df, group).groupBy(*group).applyInPandas(score, schema)
     return out.withColumn("rating_delta", params.k * (F.col("actual") - F.col("expected")))
 
 
@@ -335,7 +336,7 @@ def sequential_rating(
     )
     if small:
         schema = rows.withColumns({c: F.lit(0.0) for c in RATING_COLUMNS}).schema
-        out = rows.groupBy(*keys).applyInPandas(_fold(entity, params), schema)
+        out = spread(rows, keys).groupBy(*keys).applyInPandas(_fold(entity, params), schema)
     else:
         order = F.struct("season", "period_id")
         out = _by_period(rows.withColumn("__order", order), keys, entity, params, period_rows)

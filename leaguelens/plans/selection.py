@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaguelens.operators.aggregates import share_of_total
-from leaguelens.operators.common import Order, as_list, number_rows
+from leaguelens.operators.common import Order, as_list, number_rows, spread
 from leaguelens.operators.ordering import best_row
 from leaguelens.operators.reshape import bucketize, pivot_fill
 
@@ -40,39 +40,44 @@ class SelectionRules:
         return self.max_entities_per_team is not None or self.min_entities_per_chosen_team > 0
 
 
-def needed(price, points, is_new, ids, k: int) -> np.ndarray:
-    """Which candidates fewer than ``k`` others beat; ties go to the lower id."""
-    order = np.lexsort((ids, is_new, -points, price))
-    best: dict[bool, list[float]] = {False: [], True: []}  # highest points so far: kept ones, all
+def needed(price, points, is_new, ids, k, group) -> np.ndarray:
+    """Which candidates fewer than ``k`` others of their group beat; ties go to the lower id.
+
+    ``k`` is given per row. Rows are visited from the cheapest up, so whatever
+    was seen before costs no more; the ``k`` highest points seen decide.
+    """
+    order = np.lexsort((ids, is_new, -points, price, group))
     keep = np.zeros(len(order), dtype=bool)
-    for i in order:
-        new = bool(is_new[i])
-        ahead = best[new]
-        keep[i] = len(ahead) < k or ahead[0] < points[i]
-        for bucket in (True,) if new else (False, True):
-            heap = best[bucket]
-            if len(heap) < k:
-                heapq.heappush(heap, points[i])
-            else:
-                heapq.heappushpop(heap, points[i])
+    current, seen = None, {}
+    # plain lists: this visits every row once
+    group, points, is_new, k = group.tolist(), points.tolist(), is_new.tolist(), k.tolist()
+    for i in order.tolist():
+        if group[i] != current:
+            current, seen = group[i], {0: [], 1: []}  # points of the kept ones, of all
+        new, limit, value = is_new[i], k[i], points[i]
+        ahead = seen[new]
+        keep[i] = len(ahead) < limit or ahead[0] < value
+        for heap in (seen[1],) if new else (seen[0], seen[1]):
+            if len(heap) < limit:
+                heapq.heappush(heap, value)
+            elif heap[0] < value:
+                heapq.heapreplace(heap, value)
     return keep
 
 
 def _prune(rules: SelectionRules, group: list[str]):
+    by = [*group, "kind"] + (["team_id"] if rules.by_team else [])
+
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            by = [*group, "kind"] + (["team_id"] if rules.by_team else [])
-            for _, g in pdf.groupby(by, dropna=False, sort=False):
-                entity = g["kind"].iloc[0] == "entity"
-                if not entity and rules.min_entities_per_chosen_team > 0:
-                    parts.append(g)  # a team stands for its entities too
-                    continue
-                k = rules.n_entities if entity else rules.n_teams
-                cols = [g[c].to_numpy() for c in ("price", "points", "is_new", "asset_id")]
-                parts.append(g[needed(*cols, k)])
-            if parts:
-                yield pd.concat(parts)
+            entity = (pdf["kind"] == "entity").to_numpy()
+            code = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            k = np.where(entity, rules.n_entities, rules.n_teams)
+            cols = [pdf[c].to_numpy() for c in ("price", "points", "is_new", "asset_id")]
+            keep = needed(*cols, k, code)
+            if rules.min_entities_per_chosen_team > 0:
+                keep |= ~entity  # a team stands for its entities too
+            yield pdf[keep]
 
     return prune
 
@@ -207,7 +212,7 @@ def best_selection(
     rows = rows.select(*group, "kind", "asset_id", "team_id", "price", "points", "is_new", "budget")
     rows = rows.mapInPandas(prune, rows.schema)
     salt = F.pmod(F.xxhash64("asset_id"), F.lit(salts))
-    rows = rows.repartition(*group, salt).mapInPandas(prune, rows.schema)
+    rows = spread(rows, [*group, salt]).mapInPandas(prune, rows.schema)
     head = [f for f in rows.schema if f.name in group]
     ids = T.ArrayType(T.LongType())
     schema = T.StructType(
@@ -249,7 +254,7 @@ def best_selection(
         }
         return pd.DataFrame([out], columns=schema.names)
 
-    return rows.groupBy(*group).applyInPandas(solve, schema)
+    return spread(rows, group).groupBy(*group).applyInPandas(solve, schema)
 
 
 def selection_rows(
@@ -289,14 +294,14 @@ def selection_rows(
 
 
 def config_rows(config: DataFrame, n_entities: int = 5, n_teams: int = 2) -> DataFrame:
-    """Wide saved selections (``entity_1_id`` ...) as rows."""
+    """Wide saved selections (``entity_1_id`` ...) as rows; empty slots give none."""
     slots = [("entity", f"entity_{i}_id") for i in range(1, n_entities + 1)]
     slots += [("team", f"team_{i}_id") for i in range(1, n_teams + 1)]
     cells = [
         F.struct(F.lit(k).alias("asset_type"), F.col(c).cast("long").alias("asset_id")) for k, c in slots
     ]
     rest = [c for c in config.columns if c not in {c for _, c in slots}]
-    return config.select(*rest, F.inline(F.array(*cells)))
+    return config.select(*rest, F.inline(F.array(*cells))).filter("asset_id IS NOT NULL")
 
 
 def prior_selection(

@@ -90,7 +90,7 @@ def test_needed_keeps_what_fewer_than_k_beat():
     rng = np.random.default_rng(1)
     price, points = rng.integers(1, 20, 300) / 2.0, rng.integers(0, 40, 300) / 1.0
     new, ids = rng.integers(0, 2, 300), np.arange(300)
-    keep = se.needed(price, points, new, ids, 3)
+    keep = se.needed(price, points, new, ids, np.full(300, 3), np.zeros(300, dtype=int))
     for i in range(300):
         beats = (price <= price[i]) & (points >= points[i]) & (new <= new[i])
         strict = (price < price[i]) | (points > points[i]) | (new < new[i]) | (ids < ids[i])
