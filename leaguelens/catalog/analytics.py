@@ -511,9 +511,9 @@ rating_before, rating_after - rating_before AS rating_delta, rating_after, seed_
 FROM fact JOIN dim_entity USING (entity_id) JOIN dim_team USING (team_id) JOIN dim_period USING (period_id)""",
 )
 def _(spark, d):
-    rows = checkpointed(fact(spark, d))
-    named = rows.join(dim_entity(spark, d), "entity_id").join(dim_team(spark, d), "team_id")
+    named = fact(spark, d).join(dim_entity(spark, d), "entity_id").join(dim_team(spark, d), "team_id")
     named = named.withColumnRenamed("entity_name", "entity").withColumn("status", F.expr(_STATUS))
+    named = checkpointed(named)
     placed = named.select(
         "period_id", "entity", F.upper("team_name").alias("team"), F.col("position").alias("finish_position"), "status"
     )
@@ -970,7 +970,7 @@ u AS (SELECT season, period_num, 'points' AS source, entity_name FROM n WHERE po
 UNION ALL SELECT season, period_num, 'price', entity_name FROM n WHERE price > 20
 UNION ALL SELECT season, period_num, 'placement', entity_name FROM n WHERE position > 2
 UNION ALL SELECT season, period_num, 'rating', entity_name FROM n WHERE seed_position IS NOT NULL)
-SELECT season, period_num, {{}} FROM u GROUP BY season, period_num""".format(
+SELECT season, period_num, 0::BIGINT AS part, {{}} FROM u GROUP BY season, period_num""".format(
         ", ".join(
             f"string_agg(DISTINCT CASE WHEN source = '{s}' THEN entity_name END, ', ' ORDER BY CASE WHEN source = '{s}' THEN entity_name END) AS {s}_names"
             for s in ("points", "price", "placement", "rating")

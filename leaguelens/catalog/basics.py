@@ -536,7 +536,7 @@ def _(spark, d):
 
 @query(
     "a7_string_agg",
-    """SELECT s_nationkey, string_agg(DISTINCT l_shipmode, ', ' ORDER BY l_shipmode) AS flags FROM
+    """SELECT s_nationkey, 0::BIGINT AS part, string_agg(DISTINCT l_shipmode, ', ' ORDER BY l_shipmode) AS flags FROM
 (SELECT s_nationkey, l_returnflag || l_linestatus AS l_shipmode FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 GROUP BY s_nationkey""",
 )

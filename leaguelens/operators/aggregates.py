@@ -52,18 +52,25 @@ def first_non_null(df: DataFrame, keys: Order, col: str, order: str) -> DataFram
     return group_agg(df, keys, {order: F.min(order), col: F.min(known).getField(col)})
 
 
-def string_agg(df: DataFrame, keys: Order, col: str | Column, sep=", ", name=None) -> DataFrame:
-    """Distinct values of each group as sorted text.
+def string_agg(
+    df: DataFrame, keys: Order, col: str | Column, sep=", ", name=None, part_size: int = 10_000
+) -> DataFrame:
+    """Distinct values of each group as sorted text; NULL where there are none.
 
-    Duplicates are combined before the shuffle, so a group holds its distinct
-    values only.
+    Duplicates are combined before the shuffle. A text lists ``part_size``
+    values at most and further ones follow in the next ``part``, so a row
+    stays bounded and every value is listed.
     """
     keys, c = as_list(keys), F.col(col) if isinstance(col, str) else col
     values = df.select(*keys, c.alias("__v")).distinct()
+    placed = number_rows(values, keys, "__v", "__pos")
+    part = F.floor((F.col("__pos") - 1) / part_size).cast("long")
     text = F.array_join(F.sort_array(F.collect_list("__v")), sep)
-    return values.groupBy(*keys).agg(
+    out = placed.groupBy(*keys, part.alias("part")).agg(
         F.when(F.count("__v") > 0, text).alias(name or f"{col}_list")
     )
+    # the NULL value sorts last: alone in a later part it says nothing
+    return out.filter((F.col("part") == 0) | F.col(out.columns[-1]).isNotNull())
 
 
 def collect_sorted(

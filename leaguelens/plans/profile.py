@@ -13,13 +13,13 @@ from leaguelens.operators.sets import union_tagged
 
 
 def source_name_reconciliation(sources: dict[str, DataFrame], keys: Order, name: str) -> DataFrame:
-    """Distinct names per source side by side, one row per key."""
+    """Distinct names per source side by side; long lists go on in the next ``part``."""
     keys = as_list(keys)
     merged = union_tagged({s: df.select(*keys, name) for s, df in sources.items()})
     merged = merged.withColumn(name, normalize_key(F.col(name)))
     listed = string_agg(merged, [*keys, "source"], name, name="__names")
     cells = [F.max(F.when(F.col("source") == s, F.col("__names"))).alias(f"{s}_names") for s in sources]
-    return listed.groupBy(*keys).agg(*cells)
+    return listed.groupBy(*keys, "part").agg(*cells)
 
 
 def unresolved_names(rows: DataFrame, dim: DataFrame, name: str, dim_name: str) -> DataFrame:

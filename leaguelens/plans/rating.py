@@ -36,7 +36,7 @@ from leaguelens.operators.ordering import best_row, dense_index
 from leaguelens.operators.windows import forward_fill, group_max
 from leaguelens.session import shared_folder
 
-PERIOD_ROWS = 20_000  # entities of one period a task may compare directly
+PERIOD_ROWS = 5_000  # entities of one period a task may compare directly
 DEGREE = 16
 REACH = 64  # cells; an opponent further away is a sure win or loss
 

@@ -137,6 +137,13 @@ def test_dist_summary_single_row_and_nulls(spark):
         assert (out["c"]["median"], out["c"]["p25"]) == (2.0, 1.5)
 
 
+def test_string_agg_parts(spark):
+    df = spark.createDataFrame([("a", x) for x in ("q", "p", None, "q", "r")] + [("b", None)], "k string, v string")
+    assert rows(ag.string_agg(df, "k", "v"), "k", "part", "v_list") == [("a", 0, "p, q, r"), ("b", 0, None)]
+    assert rows(ag.string_agg(df, "k", "v", part_size=2), "k", "part", "v_list") == [("a", 0, "p, q"), ("a", 1, "r"), ("b", 0, None)]
+    assert rows(ag.string_agg(df, "k", "v", part_size=3), "k", "part", "v_list") == [("a", 0, "p, q, r"), ("b", 0, None)]
+
+
 def test_bucketize_and_flags(spark):
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 4.9, 5.0, 20.0, None)], "v double")
     got = [r[0] for r in df.select(rs.bucketize(F.col("v"), *oc.REPORT_BANDS)).collect()]
