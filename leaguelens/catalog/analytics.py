@@ -56,8 +56,8 @@ def _(spark, d):
 def _(spark, d):
     path = shared_folder(spark, "json")
     cols = ["event_id", "user_id", "event_type", "value"]
-    rows = read_table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), (F.col("event_id") % 64).alias("page"))
-    # a file is one response: an array with a page of a day's records
+    rows = read_table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 500).alias("page"))
+    # a file is one response: an array with a page of records
     body = rows.agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
     body.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return ld.read_json_landing(spark, path, "event_id long, user_id long, event_type string, value double")

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaguelens.operators.aggregates import QUANTILES, dist_summary
-from leaguelens.operators.common import GROUP_ROWS, Order, as_list, number_rows
+from leaguelens.operators.common import GROUP_ROWS, Order, as_list, number_rows, spread
 from leaguelens.operators.joins import lookup_first
 from leaguelens.operators.ordering import dedupe
 from leaguelens.operators.reshape import bucketize
 from leaguelens.operators.sets import union_tagged
 
+BROADCAST_ROWS = 500_000  # residuals, some 25 MB
+
 # The two bands outcomes are drawn by and the six of the reports.
 DRAW_BANDS = ([20], ["00_20", "20_plus"])
 REPORT_BANDS = ([0, 5, 10, 15, 20], ["< 0", "0-5", "5-10", "10-15", "15-20", "20+"])
@@ -68,6 +70,8 @@ def bootstrap_outcomes(
 
     Residuals are numbered per bucket and a draw names a number, so draws meet
     residuals in an equi-join on (bucket, number), spread evenly over both.
+    Counted small, the residuals are broadcast and the draws stay where their
+    score is; the summary per entity then needs no shuffle of draws either.
     """
     bucket = "prediction_bucket"
     scores = scores.filter(F.col("predicted_points").isNotNull())
@@ -90,7 +94,10 @@ def bootstrap_outcomes(
     for name, n in sizes.items():
         size = F.when(F.col(bucket) == name, F.lit(n).cast("long")).otherwise(size)
     key = (F.col("entity_id") * 613 + F.col("period_id")) % 2147483647
-    drawn = scores.withColumn("simulation_id", sims)
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        pool = F.broadcast(pool)
+    # scores are few beside their draws: give every task a share before they multiply
+    drawn = spread(scores, ["period_id", "entity_id"]).withColumn("simulation_id", sims)
     drawn = drawn.withColumn("__idx", draw_index(key, F.col("simulation_id"), seed, size))
     return (
         drawn.join(pool, [bucket, "__idx"])
