@@ -10,6 +10,7 @@ from leaguelens.catalog.fixture import (
     FACT0,
     PERIODS,
     base_fact,
+    day,
     dim_entity,
     dim_period,
     dim_team,
@@ -147,11 +148,11 @@ def _(spark, d):
 
 @query(
     "d3_number_within_season",
-    """WITH m AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS season, date_trunc('day', o_orderdate)::DATE AS day FROM orders)
+    """WITH m AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS season, date_trunc('day', o_orderdate)::TIMESTAMP AS day FROM orders)
 SELECT season, day, row_number() OVER (PARTITION BY season ORDER BY day) + 3 AS period_num FROM m""",
 )
 def _(spark, d):
-    days = read_table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), F.to_date("o_orderdate").alias("day"))
+    days = read_table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("day"))
     known = days.select("season", F.lit(3).cast("long").alias("period_num")).distinct()
     return ky.number_within_season(days.distinct(), "season", "day", existing=known)
 
@@ -621,7 +622,7 @@ def _(spark, d):
 
 
 _TARGET = """target AS (SELECT CAST(max(season) + 1 AS INTEGER) AS season, 1 AS period_num,
-  CAST((max(season) + 1) * 100 + 1 AS BIGINT) AS period_id, make_date(max(season) + 1, 1, 1) AS date_start, true AS is_special FROM fact0)"""
+  CAST((max(season) + 1) * 100 + 1 AS BIGINT) AS period_id, make_timestamp(max(season) + 1, 1, 1, 0, 0, 0) AS date_start, true AS is_special FROM fact0)"""
 
 
 def _target(spark, d):
@@ -630,7 +631,7 @@ def _target(spark, d):
         "season",
         F.lit(1).alias("period_num"),
         (F.col("season") * 100 + 1).cast("long").alias("period_id"),
-        F.make_date("season", F.lit(1), F.lit(1)).alias("date_start"),
+        day(F.col("season"), F.lit(1), 1).alias("date_start"),
         F.lit(True).alias("is_special"),
     )
 

@@ -928,7 +928,7 @@ def _(spark, d):
 
 
 @query(
-    "f_text_functions",
+    "f1_f8_text_functions",
     """SELECT s_suppkey, lower(s_name) AS low, upper(s_name) AS up, trim('  ' || s_name || ' ') AS trimmed,
 regexp_replace(lower(trim(' A   ' || s_name || '  b ')), '\\s+', ' ', 'g') AS ws,
 TRY_CAST(substr(CAST(1990 + s_suppkey AS VARCHAR) || 'Driver', 1, 4) AS INTEGER) AS year4,
@@ -952,7 +952,7 @@ def _(spark, d):
 
 
 @query(
-    "f_time_functions",
+    "f9_f13_time_functions",
     """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m,
 CAST(epoch(o_orderdate) AS BIGINT) AS secs, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS tid,
 o_orderdate AS iso, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS bad,
@@ -976,7 +976,7 @@ def _(spark, d):
 
 
 @query(
-    "f_number_functions",
+    "f15_f27_number_functions",
     f"""SELECT s_suppkey, abs(s_acctbal) AS absolute, round(s_acctbal, 1) + 0.0 AS up1,
 round_even(s_acctbal, 1) + 0.0 AS even1, {rnd("s_acctbal / nullif(s_nationkey, 0)")} AS ratio,
 {rnd("1 / (1 + pow(10, (1500 - s_acctbal) / 400))")} AS expected, {rnd("sqrt(abs(s_acctbal))")} AS root,
@@ -1008,7 +1008,7 @@ def _(spark, d):
 
 
 @query(
-    "f_nested_functions",
+    "f28_f31_nested_functions",
     """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[1000] AS DOUBLE) AS past,
 coalesce(map {'0': 'zero', '1': 'one'}[CAST(label AS VARCHAR)], CAST(label AS VARCHAR)) AS name FROM embeddings""",
 )

@@ -6,7 +6,7 @@ period; points and prices are sums and means over the month's line items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaguelens.operators.common import GROUP_ROWS, fits_one_task, number_rows
@@ -39,7 +39,7 @@ fact AS (
 PERIODS = """
 dim_period AS (
   SELECT season, period_num, period_id, 'Round ' || period_num AS period_name,
-    make_date(season, period_num, 1) AS date_start, period_num % 4 = 0 AS is_special
+    make_timestamp(season, period_num, 1, 0, 0, 0) AS date_start, period_num % 4 = 0 AS is_special
   FROM (SELECT DISTINCT year(l_shipdate)::INTEGER AS season, month(l_shipdate)::INTEGER AS period_num,
     (year(l_shipdate) * 100 + month(l_shipdate))::BIGINT AS period_id FROM lineitem))"""
 
@@ -54,6 +54,11 @@ dim_team AS (
 DIMS = ",".join([PERIODS, ENTITIES, TEAMS])
 
 
+def day(year: Column, month: Column, of_month: int) -> Column:
+    """Midnight of a day."""
+    return F.make_date(year, month, F.lit(of_month)).cast("timestamp_ntz")
+
+
 def base_fact(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (entity, period); line items are combined before any join."""
     items = read_table(spark, folder, "lineitem")
@@ -119,7 +124,7 @@ def dim_period(spark: SparkSession, folder: str) -> DataFrame:
         "period_num",
         (F.col("season") * 100 + F.col("period_num")).cast("long").alias("period_id"),
         F.concat(F.lit("Round "), F.col("period_num").cast("string")).alias("period_name"),
-        F.make_date("season", "period_num", F.lit(1)).alias("date_start"),
+        day(F.col("season"), F.col("period_num"), 1).alias("date_start"),
         (F.col("period_num") % 4 == 0).alias("is_special"),
     )
 

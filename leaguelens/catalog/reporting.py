@@ -15,6 +15,7 @@ from leaguelens.catalog.fixture import (
     FACT,
     FACT0,
     base_fact,
+    day,
     dim_entity,
     dim_period,
     dim_team,
@@ -132,7 +133,7 @@ def _(spark, d):
 # Logs derived from the fact: one selection run and one simulation run per grid.
 RUNS = f"""sel AS (SELECT pool_id * 1000000 + period_id AS selection_run_id, * FROM fact WHERE position <= 5),
 sel_run AS (SELECT selection_run_id, any_value(season) AS season, any_value(period_id) AS period_id,
-  make_date(any_value(season), any_value(period_num), 2) AS created_at, 'pool ' || any_value(pool_id) AS selection_name,
+  make_timestamp(any_value(season), any_value(period_num), 2, 0, 0, 0) AS created_at, 'pool ' || any_value(pool_id) AS selection_name,
   {rnd("sum(price)")} AS total_price, {rnd("sum(points)")} AS gross_points, min(CASE WHEN position = 1 THEN entity_id END) AS bonus_entity_id,
   bool_or(seed_position IS NULL) AS require_entity_from_each_team FROM sel GROUP BY selection_run_id),
 sel_rows AS (SELECT selection_run_id, 'entity' AS asset_type, position AS slot_num, entity_id AS asset_id, team_id, price, points, position = 1 AS is_bonus FROM sel),
@@ -149,7 +150,7 @@ def _logs(spark, d):
     sel_run = sel.groupBy("selection_run_id").agg(
         F.min("season").alias("season"),
         F.min("period_id").alias("period_id"),
-        F.make_date(F.min("season"), F.min("period_num"), F.lit(2)).alias("created_at"),
+        day(F.min("season"), F.min("period_num"), 2).alias("created_at"),
         F.concat(F.lit("pool "), F.min("pool_id").cast("string")).alias("selection_name"),
         F.sum("price").alias("total_price"),
         F.sum("points").alias("gross_points"),
@@ -229,7 +230,7 @@ def _(spark, d):
 
 LOGS = f"""log AS (SELECT CAST(season - 1990 AS BIGINT) AS prediction_run_id, season, period_id, entity_id, team_id, price,
   {rnd("predicted_points")} AS predicted_points, 'm' || (season % 3) AS model_name, season % 2 = 0 AS is_production_run,
-  make_date(season, 1, 1) AS prediction_timestamp FROM pred),
+  make_timestamp(season, 1, 1, 0, 0, 0) AS prediction_timestamp FROM pred),
 team_log AS (SELECT CAST(season - 1990 AS BIGINT) AS prediction_run_id, season, period_id, team_id, {rnd("sum(predicted_points)")} AS predicted_points,
   season = 1997 AS is_production_run FROM pred GROUP BY ALL)"""
 
@@ -247,7 +248,7 @@ def _prediction_logs(spark, d):
             F.round(F.col("predicted_points") + 1e-9, 6).alias("predicted_points"),
             F.concat(F.lit("m"), (F.col("season") % 3).cast("string")).alias("model_name"),
             (F.col("season") % 2 == 0).alias("is_production_run"),
-            F.make_date("season", F.lit(1), F.lit(1)).alias("prediction_timestamp"),
+            day(F.col("season"), F.lit(1), 1).alias("prediction_timestamp"),
         )
     )
     team = predictions(spark, d).groupBy(run, "season", "period_id", "team_id")

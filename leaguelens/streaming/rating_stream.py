@@ -26,10 +26,12 @@ def stream_rating(
     wrote, so nothing is counted twice. A batch may hold several periods; a
     period must not be split over batches.
     """
-    keys, schema = as_list(pool), stream.schema
+    keys, schema, spark = as_list(pool), stream.schema, stream.sparkSession
 
     def rate(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        # from here on these are batch jobs of the main session, with its adaptive execution
+        batch.write.mode("overwrite").parquet(f"{home}/results/{batch_id}")
+        batch = spark.read.schema(schema).parquet(f"{home}/results/{batch_id}")
         state_schema = empty_state(spark.createDataFrame([], schema), keys, entity).schema
         # calendar-sized: the periods of one batch
         periods = batch.select("season", "period_id").distinct().orderBy("season", "period_id").collect()

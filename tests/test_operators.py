@@ -289,3 +289,21 @@ def test_skewness_is_the_corrected_one(spark):
     m = 4.0
     g1 = sum((x - m) ** 3 for x in (1, 2, 9)) / 3 / (sum((x - m) ** 2 for x in (1, 2, 9)) / 3) ** 1.5
     assert tb.column_profile(df).first()["skew"] == pytest.approx(g1 * math.sqrt(6) / 1)
+
+
+def test_every_regressor_fits_and_explains(spark):
+    rng = random.Random(2)
+    data = [(2020 + i // 40, i // 4, i, rng.random(), rng.choice("ab")) for i in range(160)]
+    df = spark.createDataFrame(data, "season int, period_id int, entity_id int, x double, c string")
+    df = df.withColumn("points", 3 * F.col("x") + F.when(F.col("c") == "a", 1.0).otherwise(0.0)).repartition(2)
+    feats = ml.Features.of(df, ["points", "season", "period_id", "entity_id"])
+    assert feats == ml.Features(["x"], ["c"])
+    names = ["Linear", "Ridge", "Lasso", "ElasticNet", "RandomForest", "GradientBoosting"]
+    models = ml.make_regressors(names, n=160, label_std=1.0, trees=5, rounds=3)
+    results, best, model = ml.fit_and_rank(models, df, feats, folds=1, parallel=3)
+    ranked = [r["model"] for r in results.collect()]
+    assert sorted(ranked) == sorted(names) and best == ranked[0]
+    top = ml.coefficients(model, df, feats).collect()
+    assert top[0]["feature"] == "x" and [r["abs_value"] for r in top] == sorted((r["abs_value"] for r in top), reverse=True)
+    scored = ml.score(model, df.drop("points", "c"), feats)
+    assert scored.count() == 160 and "predicted_points" in scored.columns
