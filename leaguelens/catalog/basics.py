@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from leaguelens.catalog.fixture import (
     DIMS,
-    ENTITIES,
     FACT,
     FACT0,
     PERIODS,
-    TEAMS,
     base_fact,
     dim_entity,
     dim_period,
@@ -928,7 +926,7 @@ def _(spark, d):
 
 
 @query(
-    "f1_f8_text_functions",
+    "fn01_08_text_functions",
     """SELECT s_suppkey, lower(s_name) AS low, upper(s_name) AS up, trim('  ' || s_name || ' ') AS trimmed,
 regexp_replace(lower(trim(' A   ' || s_name || '  b ')), '\\s+', ' ', 'g') AS ws,
 TRY_CAST(substr(CAST(1990 + s_suppkey AS VARCHAR) || 'Driver', 1, 4) AS INTEGER) AS year4,
@@ -952,7 +950,7 @@ def _(spark, d):
 
 
 @query(
-    "f9_f13_time_functions",
+    "fn09_13_time_functions",
     """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m,
 CAST(epoch(o_orderdate) AS BIGINT) AS secs, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS tid,
 o_orderdate AS iso, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS bad,
@@ -976,7 +974,7 @@ def _(spark, d):
 
 
 @query(
-    "f15_f27_number_functions",
+    "fn15_27_number_functions",
     f"""SELECT s_suppkey, abs(s_acctbal) AS absolute, round(s_acctbal, 1) + 0.0 AS up1,
 round_even(s_acctbal, 1) + 0.0 AS even1, {rnd("s_acctbal / nullif(s_nationkey, 0)")} AS ratio,
 {rnd("1 / (1 + pow(10, (1500 - s_acctbal) / 400))")} AS expected, {rnd("sqrt(abs(s_acctbal))")} AS root,
@@ -1008,7 +1006,7 @@ def _(spark, d):
 
 
 @query(
-    "f28_f31_nested_functions",
+    "fn28_31_nested_functions",
     """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[1000] AS DOUBLE) AS past,
 coalesce(map {'0': 'zero', '1': 'one'}[CAST(label AS VARCHAR)], CAST(label AS VARCHAR)) AS name FROM embeddings""",
 )
@@ -1022,13 +1020,13 @@ def _(spark, d):
     )
 
 
-@query("f29_rows_of", "SELECT o_orderkey, unnest([o_orderkey, o_custkey]) AS id FROM orders")
+@query("fn29_rows_of", "SELECT o_orderkey, unnest([o_orderkey, o_custkey]) AS id FROM orders")
 def _(spark, d):
     return read_table(spark, d, "orders").select("o_orderkey", fx.rows_of(F.col("o_orderkey"), F.col("o_custkey")).alias("id"))
 
 
 @query(
-    "f30_json_field",
+    "fn30_json_field",
     "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
 )
 def _(spark, d):

@@ -23,8 +23,8 @@ SPREAD = [
     "w10_dense_rank_desc",
     "t4_latest_before",
     "u4_union_priority",
-    "f9_f13_time_functions",
-    "f15_f27_number_functions",
+    "fn09_13_time_functions",
+    "fn15_27_number_functions",
     "d2_extend_keys",
     "v10_run_suite",
     "g3_entity_features",
