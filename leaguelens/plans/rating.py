@@ -34,7 +34,7 @@ from leaguelens.operators.common import (
 )
 from leaguelens.operators.ordering import best_row, dense_index
 from leaguelens.operators.windows import forward_fill, group_max
-from leaguelens.session import shared_folder
+from leaguelens.session import checkpointed, shared_folder
 
 PERIOD_ROWS = 5_000  # entities of one period a task may compare directly
 DEGREE = 16
@@ -125,6 +125,7 @@ def expected_by_cells(
         F.count(F.lit(1)).alias("__n"),
         F.array(*[F.sum(F.cos(F.col("__angle") * i)) for i in range(DEGREE)]).alias("__m"),
     )
+    moments = checkpointed(moments)  # small beside the rows, read three times
     counted = running_total(moments, group, "__cell", F.col("__n"), "__upto")
     kernels = _kernels(params.spread)
 
@@ -180,6 +181,7 @@ def matchup_totals(
     """
     group = as_list(group)
     if (largest_group(df, group) if largest is None else largest) > period_rows:
+        df = checkpointed(df)  # every pass below starts from the written rows
         out = actual_by_counts(df, group, position, "actual")
         out = expected_by_cells(out, group, rating, "expected", params)
     else:

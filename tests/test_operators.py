@@ -1,6 +1,7 @@
 """Small frames with the awkward cases: NULLs, ties, single rows, zero prices, blanks."""
 
 import math
+import pathlib
 import random
 import tempfile
 
@@ -232,6 +233,12 @@ def test_files(spark):
     with open(f"{home}/page.json", "w") as f:
         f.write('[{"a": 1, "b": [1.5, null]}, {"a": 2}]')
     assert rows(ld.read_json_landing(spark, f"{home}/page.json", "a int, b array<double>"), "a") == [(1,), (2,)]
+    (tmp := pathlib.Path(f"{home}/pages")).mkdir()
+    for i in range(3):
+        (tmp / f"{i}.json").write_text(f'[{{"a": {i}}}, {{"a": {i + 1}}}]')
+    pages = ld.stream_json_landing(spark, str(tmp), "a int", files_per_batch=1)
+    stream_append_new(pages, f"{home}/seen", "a", f"{home}/cp").awaitTermination()
+    assert rows(spark.read.schema("a int").parquet(f"{home}/seen")) == [(0,), (1,), (2,), (3,)]
     with open(f"{home}/sheet.csv", "w") as f:
         f.write("Driver,1.0, 2 ,Unnamed: 3,Total Points\nx,5,,,7\n")
     out = ld.read_wide_sheets(spark, {"2024DriverPoints": f"{home}/sheet.csv"}, "entity", "period", "points")
