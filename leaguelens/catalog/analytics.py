@@ -768,9 +768,9 @@ def _resolved(spark, d):
     return rows.select("pool_id", "season", "period_id", "entity", "rating_position")
 
 
-@query(
-    "g9_sequential_rating",
-    f"""WITH RECURSIVE {FACT}, {_RESOLVED},
+def rating_sql(ctes: str) -> str:
+    """The rating as a recursive query over ``resolved``: one step per period, state in rows."""
+    return f"""WITH RECURSIVE {ctes},
 res AS (SELECT *, dense_rank() OVER (ORDER BY season, period_id) AS step,
   dense_rank() OVER (PARTITION BY pool_id ORDER BY season) - 1 AS chg FROM resolved),
 r AS (
@@ -796,8 +796,10 @@ r AS (
       WHERE r.step < (SELECT max(step) FROM res)))
 )
 SELECT pool_id, season, period_id, entity, rating_position, round(before, 4) + 0.0 AS rating_before,
-round(rating - before, 4) + 0.0 AS rating_delta, round(rating, 4) + 0.0 AS rating_after FROM r WHERE rating_position IS NOT NULL""",
-)
+round(rating - before, 4) + 0.0 AS rating_delta, round(rating, 4) + 0.0 AS rating_after FROM r WHERE rating_position IS NOT NULL"""
+
+
+@query("g9_sequential_rating", rating_sql(f"{FACT}, {_RESOLVED}"))
 def _(spark, d):
     out = rt.sequential_rating(checkpointed(_resolved(spark, d)), "pool_id")
     return out.withColumns({c: F.round(c, 4) for c in rt.RATING_COLUMNS})

@@ -9,6 +9,7 @@ from leaguelens.catalog.analytics import (
     _stats_sql,
     entity_feature_table,
     predictions,
+    rating_sql,
 )
 from leaguelens.catalog.fixture import (
     DIMS,
@@ -545,13 +546,16 @@ def _(spark, d):
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
-_NUMERIC = ["price", "rating_before", "price_change", "points_last_5_avg", "ppm_last_5", "momentum", "partner_points_last_5"]
+_NUMERIC = ["price", "rating_before", "price_change", "points_last_5_avg", "ppm_last_5", "momentum", "seed_last_5_avg"]
 _FEATS = ml.Features(_NUMERIC, ["team_id"])
 
 
-@query("m4_preprocessor")
+@query(
+    "m4_preprocessor",
+    f"SELECT unnest({_NUMERIC}) AS feature, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std",
+)
 def _(spark, d):
-    """Scaled inputs: mean and deviation per numeric feature (0 and 1)."""
+    """Scaled inputs: mean and deviation per numeric feature are 0 and 1."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
@@ -609,12 +613,17 @@ def _(spark, d):
     return spark.read.schema(rows.schema).parquet(f"{home}/out")
 
 
-@query("x1_stream_rating")
+_YEARLY = f"""{FACT0}, resolved AS (SELECT pool_id, season, CAST(season AS BIGINT) AS period_id, entity_id AS entity,
+  CAST(row_number() OVER (PARTITION BY pool_id, season ORDER BY round(sum(points), 4) DESC, entity_id) AS DOUBLE) AS rating_position
+  FROM fact0 GROUP BY pool_id, season, entity_id)"""
+
+
+@query("x1_stream_rating", rating_sql(_YEARLY))
 def _(spark, d):
-    """Yearly standings rated as a stream; tests compare it with the batch rating."""
+    """Yearly standings rated as a stream."""
     home = shared_folder(spark, "stream")
     yearly = base_fact(spark, d).groupBy("pool_id", "season", F.col("entity_id").alias("entity"))
-    yearly = yearly.agg(F.sum("points").alias("points"))
+    yearly = yearly.agg(F.round(F.sum("points"), 4).alias("points"))
     rows = number_rows(yearly, ["pool_id", "season"], ["-points", "entity"], "rating_position")
     rows = rows.select(
         "pool_id",
@@ -626,4 +635,5 @@ def _(spark, d):
     rows.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
     stream_rating(stream, home, "pool_id", "entity", f"{home}/cp").awaitTermination()
-    return spark.read.parquet(f"{home}/rated").select(*rows.columns, *rt.RATING_COLUMNS)
+    out = spark.read.parquet(f"{home}/rated").select(*rows.columns, *rt.RATING_COLUMNS)
+    return out.withColumns({c: F.round(c, 4) for c in rt.RATING_COLUMNS})
