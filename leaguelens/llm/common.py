@@ -42,28 +42,25 @@ def spread_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("spread"), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def bounded_sample(df: DataFrame, key: Column, n: int, group: str, groups: int = 256) -> DataFrame:
-    """At most about ``1.2 n`` rows of ``df``, the same number of every value of ``group`` if there are enough.
+def bounded_sample(rows: DataFrame, key: Column, n: int, counts: DataFrame, group: str) -> DataFrame:
+    """About ``n`` of ``rows``, equally many of every value of ``group`` where there are enough.
 
-    Rows are chosen by a hash of ``key``, so the choice does not depend on the
-    partitioning. Only the ``groups`` most frequent values take part; the counts
-    of these come to the driver.
+    ``counts`` has the rows of each value, in a bounded number of values; only
+    these take part. Rows are chosen by a hash of ``key``, so the choice does not
+    depend on the partitioning.
     """
-    counts = (
-        df.where(F.col(group).isNotNull()).groupBy(group).count()
-        .orderBy(F.desc("count"), group).limit(groups).collect()
-    )
-    if not counts:
-        return df.limit(0)
-    each = n / len(counts)
-    for _ in range(4):  # what small groups leave goes to the others
-        spare = n - sum(min(r["count"], each) for r in counts)
-        large = sum(r["count"] > each for r in counts)
+    found = counts.collect()
+    if not found:
+        return rows.limit(0)
+    each = n / len(found)
+    for _ in range(8):  # what small groups leave goes to the others
+        spare = n - sum(min(r["count"], each) for r in found)
+        large = sum(r["count"] > each for r in found)
         if not large or spare < 1:
             break
         each += spare / large
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[group], min(1.0, each / r["count"]))])
-    return df.where(spread_hash(key) < F.coalesce(F.try_element_at(share, F.col(group)), F.lit(0.0)))
+    share = F.create_map(*[F.lit(x) for r in found for x in (r[group], min(1.0, each / r["count"]))])
+    return rows.where(spread_hash(key) < F.coalesce(F.try_element_at(share, F.col(group)), F.lit(0.0)))
 
 
 def send(spark: SparkSession, value):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leaguelens.llm import simhash
-from leaguelens.llm.common import table
+from leaguelens.llm import langid, quality, simhash
+from leaguelens.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,3 +22,21 @@ def _query(fn):
 @_query
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bucket = crc_bucket(F.col("doc_id"), 4)
+    model = langid.fit(docs, bucket != 2)
+    marked = docs.withColumn("held_out", F.coalesce(bucket == 2, F.lit(False)))
+    return langid.predict(marked, model, ["doc_id", "held_out"])
+
+
+@_query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bucket = crc_bucket(F.col("doc_id"), 3)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), bucket != 1)
+    marked = docs.withColumn("held_out", F.coalesce(bucket == 1, F.lit(False)))
+    return quality.score(marked, model, ["doc_id", "held_out"])
