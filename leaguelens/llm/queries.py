@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.llm import langid, quality, simhash
+from leaguelens.llm import langid, quality, simhash, vectors
 from leaguelens.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), bucket != 1)
     marked = docs.withColumn("held_out", F.coalesce(bucket == 1, F.lit(False)))
     return quality.score(marked, model, ["doc_id", "held_out"])
+
+
+@_query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
