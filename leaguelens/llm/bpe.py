@@ -31,13 +31,20 @@ BYTES_AT_ONCE = 32 << 20
 FEW = 24
 
 # White space as Unicode defines it; str.split() also splits at four separators.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 # How byte-level tokens write bytes: printable ones as themselves, the others from U+0100 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
+BLANK = chr(BYTE_LEVEL[0x20])
+ENDINGS = ".,;:!?"
+
+
+def byte_level(word: str) -> str:
+    """A word as byte-level tokens write it."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
 
 
 class Merges:
@@ -179,12 +186,10 @@ class Codec:
 
     def words(self, piece: str) -> list[str | int]:
         """The words of a piece without white space as the tokenizer's own rules give them; special tokens as ids."""
-        body, mark = (piece[:-1], piece[-1]) if piece[-1] in ".,;:!?" else (piece, "")
+        body, mark = (piece[:-1], piece[-1]) if piece[-1] in ENDINGS else (piece, "")
         # letters below U+0100 are their own normal form, are lowered one by one and make one word
         if body.isalpha() and (body.isascii() or max(body) < "\u0100"):
-            word = body.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
+            word = byte_level(body.lower())
             return [word, mark] if mark else [word]
         out = []
         for part in self.cut.split(piece) if self.cut else [piece]:

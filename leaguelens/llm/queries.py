@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.llm import bpe, langid, quality, simhash, vectors
+from leaguelens.llm import bpe, langid, quality, simhash, token_counts, vectors
 from leaguelens.llm.common import crc_bucket, table
+from leaguelens.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +52,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is the folder in ``leaguelens.llm.token_cache``, else a new one."""
+    docs = table(spark, sf_dir, "documents")
+    cache = spark.conf.get("leaguelens.llm.token_cache", None) or shared_folder(spark, "token-cache")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
