@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.llm import bpe, langid, quality, simhash, token_counts, vectors
+from leaguelens.llm import bpe, fingerprints, langid, quality, simhash, token_counts, vectors
 from leaguelens.llm.common import crc_bucket, table
 from leaguelens.session import shared_folder
 
@@ -60,3 +60,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = spark.conf.get("leaguelens.llm.token_cache", None) or shared_folder(spark, "token-cache")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
+@_query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
