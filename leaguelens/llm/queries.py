@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.llm import bpe, fingerprints, langid, quality, simhash, token_counts, vectors
+from leaguelens.llm import bpe, fingerprints, langid, packing, quality, sharding, simhash, token_counts, vectors
 from leaguelens.llm.common import crc_bucket, table
 from leaguelens.session import shared_folder
 
@@ -65,3 +65,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
