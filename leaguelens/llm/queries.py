@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.llm import bpe, fingerprints, langid, packing, quality, sharding, simhash, token_counts, vectors
+from leaguelens.llm import bpe, fingerprints, langid, packing, quality, sharding, simhash, token_counts, vectors, warc
 from leaguelens.llm.common import crc_bucket, table
 from leaguelens.session import shared_folder
 
@@ -75,3 +75,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
