@@ -196,8 +196,10 @@ def fit(
     return Model(languages, frequent, grams, marks, whiten @ solved, base - mean @ solved)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns of every row with lang_pred and score.
+def predict(
+    docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``keep`` columns of every row with lang_pred and score, named as in ``out``.
 
     ``lang_pred`` is the language with the highest regression value, the first by
     name among equals, and ``score`` that value cut to 0..1. A text that is null
@@ -206,6 +208,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     sent = send(docs.sparkSession, model)
+    out_names = list(out)
 
     def make():
         fitted = sent.value
@@ -223,11 +226,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                 score[rows] = np.clip(value[np.arange(len(rows)), best], 0, 1)
             return pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)],
-                names=[*keep, "lang_pred", "score"],
+                names=[*keep, *out_names],
             )
 
         return step
 
     narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out[0]}` string", f"`{out[1]}` double"])
     return in_batches(narrow, make, schema)

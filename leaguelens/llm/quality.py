@@ -159,8 +159,10 @@ def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.
     return np.where(total > 0, (weight * model.labels[near]).sum(1) / np.where(total > 0, total, 1), prior)
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns of every row with score (0 to 1) and predicted (1 from 0.5 on).
+def score(
+    docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", out: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """``keep`` columns of every row with score (0 to 1) and predicted (1 from 0.5 on), named as in ``out``.
 
     Null and empty texts, which no term describes, score the share of label 1 in
     the sample; without any labelled document every score is 0.5.
@@ -173,15 +175,15 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
 
         def step(batch):
             texts = batch.column(len(keep)).to_pylist()
-            out = np.full(len(texts), 0.5)
+            value = np.full(len(texts), 0.5)
             for at in range(0, len(texts), ROWS_AT_ONCE) if fitted else ():
                 counts = np.array([term_counts(t or "") for t in texts[at : at + ROWS_AT_ONCE]])
-                out[at : at + len(counts)] = np.clip(vote(fitted, latent(counts, fitted.weight, fitted.axes)), 0, 1)
-            arrays = [*batch.columns[: len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32))]
-            return pa.RecordBatch.from_arrays(arrays, names=[*keep, "score", "predicted"])
+                value[at : at + len(counts)] = np.clip(vote(fitted, latent(counts, fitted.weight, fitted.axes)), 0, 1)
+            arrays = [*batch.columns[: len(keep)], pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
+            return pa.RecordBatch.from_arrays(arrays, names=[*keep, *out])
 
         return step
 
     narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", "predicted int"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out[0]}` double", f"`{out[1]}` int"])
     return in_batches(narrow, make, schema)

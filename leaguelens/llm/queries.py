@@ -15,6 +15,20 @@ from leaguelens.session import shared_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# base32 has no function in SQL: every five hexadecimal digits make four of its digits
+ORACLE["op8_warc"] = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+                      max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+               FROM pages)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (1 + ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '')
+               AS payload_digest,
+           CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first OR first IS NULL THEN NULL ELSE first END AS refers_to
+    FROM p
+"""
+
 
 def _query(fn):
     QUERIES[fn.__name__] = fn

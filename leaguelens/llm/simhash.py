@@ -91,7 +91,8 @@ def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
     differing bits of the pair within the budget.
     """
     bits = F.col("depth") + F.lit(STEP_BITS)
-    mine = F.shiftrightunsigned("turned", F.lit(64) - bits).bitwiseAND(F.lit((1 << STEP_BITS) - 1))
+    mine = F.call_function("shiftrightunsigned", F.col("turned"), F.lit(64) - bits)
+    mine = mine.bitwiseAND(F.lit((1 << STEP_BITS) - 1).cast("long"))
     within = F.filter(
         F.sequence(F.lit(0), F.lit((1 << STEP_BITS) - 1)),
         lambda m: F.col("differ") + F.bit_count(m) <= BUDGET,
@@ -108,7 +109,7 @@ def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
     own, far = F.col("mine"), F.col("other")
 
     def down(node, child):
-        return F.shiftleft(node, STEP_BITS).bitwiseOR(child)
+        return F.shiftleft(node, STEP_BITS).bitwiseOR(child).cast("long")
 
     return cut.select(
         "block",
@@ -116,7 +117,7 @@ def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
         down(F.col("b"), F.when(left, far).otherwise(own)).alias("b"),
         F.when(left, 0).otherwise(1).alias("side"),
         bits.alias("depth"),
-        (F.col("differ") + F.bit_count("mask")).alias("differ"),
+        (F.col("differ") + F.bit_count("mask")).cast("long").alias("differ"),
         "turned",
         "id",
     )
