@@ -277,8 +277,8 @@ class Part:
             yield gather(tokens, size, start, pieces), text
 
 
-def _in_parts(path: str, row, names: list[str]):
-    """Encode a task's texts in parts of bounded size; ``row`` makes a result row of ids and decoded text."""
+def _in_parts(path: str, row, fields: dict[str, pa.DataType]):
+    """Encode a task's texts in parts of bounded size; ``row`` makes the values of ``fields`` from ids and decoded text."""
 
     def run(batches):
         coder = codec(path)
@@ -287,7 +287,8 @@ def _in_parts(path: str, row, names: list[str]):
         def flush():
             keys = pa.concat_arrays(part.keys)
             columns = zip(*[row(ids, said) for ids, said in part.encoded()], strict=True)
-            return pa.RecordBatch.from_arrays([keys, *map(pa.array, columns)], names=names)
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, fields.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([keys, *arrays], names=["key", *fields])
 
         for batch in batches:
             if batch.num_rows:
@@ -305,8 +306,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """(key, ids): the token ids of every whole text, without added special tokens; a null text has none."""
     kind = docs.schema[key].dataType.simpleString()
     narrow = docs.select(F.col(key), F.col(text))
-    run = _in_parts(path, lambda ids, _: (ids.astype(np.int32).tolist(),), [key, "ids"])
-    return narrow.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    run = _in_parts(path, lambda ids, _: (ids.astype(np.int32).tolist(),), {"ids": pa.list_(pa.int32())})
+    return narrow.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -333,8 +334,8 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """
     kind = docs.schema[key].dataType.simpleString()
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    run = _in_parts(
-        path, lambda ids, said: (len(ids), sha(ids.tobytes()), sha(said.encode())), [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-    )
+    fields = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    run = _in_parts(path, lambda ids, said: (len(ids), sha(ids.tobytes()), sha(said.encode())), fields)
     narrow = docs.select(F.col(key), F.col(text))
-    return narrow.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = narrow.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("key", key)
