@@ -16,7 +16,7 @@ from leaguelens.catalog.fixture import (
     dim_team,
     fact,
 )
-from leaguelens.catalog.registry import query, rnd, tidy
+from leaguelens.catalog.registry import ORACLE, query, rnd, tidy
 from leaguelens.operators import keys as ky
 from leaguelens.operators import quality as ql
 from leaguelens.operators import windows as wn
@@ -201,14 +201,23 @@ def _(spark, d):
 # ---------------------------------------------------------------- quality
 
 
-@query("v1_check_exists_nonempty", "SELECT 'missing' AS table_name, 'exists' AS check_name, NULL::VARCHAR AS column_name, 1::BIGINT AS n_bad UNION ALL SELECT 'none', 'not_empty', NULL, 1")
+@query(
+    "v1_check_exists_nonempty",
+    """SELECT 'missing' AS table_name, 'exists' AS check_name, NULL::VARCHAR AS column_name, 1::BIGINT AS n_bad
+UNION ALL SELECT 'orders', 'not_empty', NULL, 1 FROM orders HAVING count(*) = 0
+UNION ALL SELECT 'none', 'not_empty', NULL, 1 FROM orders HAVING count(*) FILTER (o_orderkey < 0) = 0""",
+)
 def _(spark, d):
     orders = read_table(spark, d, "orders")
     tables = {"orders": orders, "none": orders.filter("o_orderkey < 0")}
     return ql.check_exists_nonempty(spark, tables, ["orders", "none", "missing"])
 
 
-@query("v2_check_columns", "SELECT 'orders' AS table_name, 'required_column' AS check_name, 'period_id' AS column_name, 1::BIGINT AS n_bad UNION ALL SELECT 'orders', 'column_whitespace', ' o_orderkey', 1")
+@query(
+    "v2_check_columns",
+    """SELECT 'orders' AS table_name, 'required_column' AS check_name, 'period_id' AS column_name, greatest(count(*), 1) AS n_bad FROM orders
+UNION ALL SELECT 'orders', 'column_whitespace', ' o_orderkey', greatest(count(o_orderkey), 1) FROM orders""",
+)
 def _(spark, d):
     orders = read_table(spark, d, "orders").withColumnRenamed("o_orderkey", " o_orderkey")
     return ql.check_columns(orders, ["o_custkey", "period_id"], "orders")
@@ -269,10 +278,15 @@ def _(spark, d):
     return none.drop("n_filled").join(filled, "source")
 
 
-@query("v8_check_schema_parity", "SELECT 'frame' AS table_name, 'missing_column' AS check_name, 'c_acctbal' AS column_name, 1::BIGINT AS n_bad")
+@query(
+    "v8_check_schema_parity",
+    """SELECT 'frame' AS table_name, 'missing_column' AS check_name, 'c_acctbal' AS column_name, greatest(count(c_acctbal), 1) AS n_bad FROM customer
+UNION ALL SELECT 'frame', 'extra_column', 'first_order', greatest(count(DISTINCT o_custkey), 1) FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
 def _(spark, d):
     rows = read_table(spark, d, "customer")
-    return ql.check_schema_parity(rows, rows.drop("c_acctbal"), "frame")
+    first = read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("first_order"))
+    return ql.check_schema_parity(rows, rows.drop("c_acctbal").join(first, "c_custkey", "left"), "frame")
 
 
 @query(
@@ -289,7 +303,7 @@ def _(spark, d):
     f"""WITH {FACT}, found AS (SELECT 'fact' AS table_name, 'not_null' AS check_name, 'seed_position' AS column_name,
 count(*) - count(seed_position) AS n_bad FROM fact
 UNION ALL SELECT 'fact', 'range', 'points', count(*) FROM fact WHERE points < 1 OR points > 40
-UNION ALL SELECT 'fact', 'required_column', 'laps', 1
+UNION ALL SELECT 'fact', 'required_column', 'laps', count(*) FROM fact
 UNION ALL SELECT 'lines', 'grain', NULL, count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'fact', 'coverage', NULL, count(*) FROM (SELECT 1 FROM fact GROUP BY pool_id, period_id HAVING count(DISTINCT entity_id) < 18)
 UNION ALL SELECT 'fact', 'resolved', NULL, count(*) FROM fact WHERE seed_position IS NULL
@@ -763,6 +777,14 @@ def _(spark, d):
     return tidy(out.drop("position", "rating_before"))
 
 
+@query("g8_matchup_totals_split", ORACLE["g8_matchup_totals"])
+def _(spark, d):
+    """The plan for groups too large for one task."""
+    rows = fact(spark, d).select("pool_id", "period_id", "entity_id", "position", "rating_before")
+    out = rt.matchup_totals(rows, ["pool_id", "period_id"], "entity_id", "position", period_rows=0)
+    return tidy(out.drop("position", "rating_before"))
+
+
 def _resolved(spark, d):
     rows = rt.resolve_positions(_raw_positions(spark, d), ["pool_id", "season", "period_id"])
     return rows.select("pool_id", "season", "period_id", "entity", "rating_position")
@@ -873,42 +895,57 @@ def _(spark, d):
     return tidy(oc.residual_bucket_stats(out))
 
 
-N_SIMS, SEED = 40, 42
+# Draws per score: fewer where every draw is a row of the result. The operator's default is 10,000.
+N_DRAWS, N_SIMS, SEED = 100, 400, 42
 RES6 = f"""res6 AS (SELECT *, points - rp AS residual, CASE WHEN rp < 20 THEN '00_20' ELSE '20_plus' END AS prediction_bucket
   FROM (SELECT *, {rnd("predicted_points")} AS rp FROM pred WHERE predicted_points IS NOT NULL))"""
-SIMS = f"""pool AS (SELECT prediction_bucket, residual AS sampled_residual,
+def fifth(x: str) -> str:
+    """SQL: the fifth power modulo the prime that draws are mixed by."""
+    p = 2147483647
+    return f"(((({x}) * ({x}) % {p}) * (({x}) * ({x}) % {p}) % {p}) * ({x}) % {p})"
+
+
+def sims_sql(n_sims: int) -> str:
+    return f"""pool AS (SELECT prediction_bucket, residual AS sampled_residual,
   row_number() OVER (PARTITION BY prediction_bucket ORDER BY residual, period_id, entity_id) - 1 AS idx,
   count(*) OVER (PARTITION BY prediction_bucket) AS size FROM res6),
 sizes AS (SELECT prediction_bucket, count(*) AS size FROM res6 GROUP BY 1),
 k AS (SELECT r.period_id, r.entity_id, r.team_id, r.price, r.rp AS predicted_points, r.prediction_bucket, s.size, sim,
   (r.entity_id * 613 + r.period_id) % 2147483647 AS key
-  FROM res6 r JOIN sizes s USING (prediction_bucket), (SELECT unnest(range(0, {N_SIMS})) AS sim)),
-h0 AS (SELECT *, (sim * 7919 + key * 104729 + {SEED * 1299709}) % 2147483647 AS h FROM k),
-h1 AS (SELECT * REPLACE ((h * 48271 + key * 31 + sim) % 2147483647 AS h) FROM h0),
-h2 AS (SELECT * REPLACE ((h * 69621 + key * 31 + sim) % 2147483647 AS h) FROM h1),
-sims AS (SELECT h2.*, p.sampled_residual, predicted_points + p.sampled_residual AS simulated_points FROM h2
-  JOIN pool p ON p.prediction_bucket = h2.prediction_bucket AND p.idx = ((h % 46340) * (h % 46337) + h // 46340) % h2.size)"""
+  FROM res6 r JOIN sizes s USING (prediction_bucket), (SELECT unnest(range(0, {n_sims})) AS sim)),
+a0 AS (SELECT *, {fifth(f"(sim * 7919 + key * 104729 + {SEED * 1299709}) % 2147483647")} AS a,
+  {fifth(f"(sim * 15485863 + key * 32452843 + {SEED * 49979687 + 1}) % 2147483647")} AS b FROM k),
+a1 AS (SELECT * REPLACE ({fifth("(a + key * 31 + sim) % 2147483647")} AS a, {fifth("(b + key + sim * 17) % 2147483647")} AS b) FROM a0),
+sims AS (SELECT a1.*, p.sampled_residual, predicted_points + p.sampled_residual AS simulated_points FROM a1
+  JOIN pool p ON p.prediction_bucket = a1.prediction_bucket AND p.idx = (a * 2147483647 + b) % a1.size)"""
 
 
-def simulations(spark, d):
+def simulations(spark, d, n_sims=N_SIMS, **plan):
     rows = checkpointed(_residual_rows(spark, d))
     scores = rows.select("period_id", "entity_id", "team_id", "price", "predicted_points", "prediction_bucket")
-    return oc.bootstrap_outcomes(scores, rows, N_SIMS, SEED)
+    return oc.bootstrap_outcomes(scores, rows, n_sims, SEED, **plan)
 
 
 @query(
     "g13_bootstrap_outcomes",
-    f"""WITH {FACT0}, {PRED}, {RES6}, {SIMS} SELECT period_id, entity_id, sim AS simulation_id, {rnd("sampled_residual")} AS sampled_residual,
+    f"""WITH {FACT0}, {PRED}, {RES6}, {sims_sql(N_DRAWS)} SELECT period_id, entity_id, sim AS simulation_id, {rnd("sampled_residual")} AS sampled_residual,
 {rnd("simulated_points")} AS simulated_points FROM sims""",
 )
 def _(spark, d):
     cols = ["period_id", "entity_id", "simulation_id", "sampled_residual", "simulated_points"]
-    return tidy(simulations(spark, d).select(*cols))
+    return tidy(simulations(spark, d, N_DRAWS).select(*cols))
+
+
+@query("g13_bootstrap_outcomes_split", ORACLE["g13_bootstrap_outcomes"])
+def _(spark, d):
+    """The plan for pools too large for one task."""
+    cols = ["period_id", "entity_id", "simulation_id", "sampled_residual", "simulated_points"]
+    return tidy(simulations(spark, d, N_DRAWS, max_group_rows=0).select(*cols))
 
 
 @query(
     "g14_summarize_outcomes",
-    f"""WITH {FACT0}, {PRED}, {RES6}, {SIMS} SELECT period_id, entity_id, team_id, price, predicted_points, prediction_bucket,
+    f"""WITH {FACT0}, {PRED}, {RES6}, {sims_sql(N_SIMS)} SELECT period_id, entity_id, team_id, price, predicted_points, prediction_bucket,
 {_stats_sql("simulated_points")}, {rnd("avg(simulated_points) / nullif(price, 0)")} AS mean_per_price,
 {rnd("quantile_cont(simulated_points, 0.9) / nullif(price, 0)")} AS p90_per_price,
 {rnd("quantile_cont(simulated_points, 0.9) - quantile_cont(simulated_points, 0.1)")} AS risk_range,
@@ -921,7 +958,7 @@ def _(spark, d):
 
 @query(
     "g15_selection_outcomes",
-    f"""WITH {FACT0}, {PRED}, {RES6}, {SIMS},
+    f"""WITH {FACT0}, {PRED}, {RES6}, {sims_sql(N_SIMS)},
 sel AS (SELECT 'team ' || team_id AS profile, period_id, entity_id FROM fact0),
 tot AS (SELECT profile, s.period_id, sim, sum(simulated_points) AS selection_points FROM sims s JOIN sel USING (period_id, entity_id) GROUP BY ALL)
 SELECT profile, period_id, {_stats_sql("selection_points")} FROM tot GROUP BY ALL""",

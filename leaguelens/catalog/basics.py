@@ -15,7 +15,7 @@ from leaguelens.catalog.fixture import (
     dim_team,
     fact,
 )
-from leaguelens.catalog.registry import query, rnd, tidy
+from leaguelens.catalog.registry import ORACLE, query, rnd, tidy
 from leaguelens.functions import scalars as fx
 from leaguelens.operators import aggregates as ag
 from leaguelens.operators import joins as jn
@@ -858,9 +858,9 @@ def _(spark, d):
     return od.next_period(dim_period(spark, d), "period_id", "date_start", F.to_date(F.lit("1997-05-17")))
 
 
-@query("t6_sample_violations")
+@query("t6_sample_violations", "SELECT * FROM supplier WHERE s_acctbal < 0 ORDER BY s_suppkey LIMIT 10")
 def _(spark, d):
-    return od.sample_violations(read_table(spark, d, "supplier").filter("s_acctbal < 0"), 10)
+    return od.sample_violations(read_table(spark, d, "supplier").filter("s_acctbal < 0"), 10, "s_suppkey")
 
 
 # ---------------------------------------------------------------- sets
@@ -893,14 +893,19 @@ def _(spark, d):
     )
 
 
+_PERIOD_ONLY, _FACT_ONLY = ["date_start", "is_special", "period_name"], ["entity_id", "points", "pool_id", "price", "team_id"]
+
+
 @query(
     "u3_column_diff",
-    """SELECT 'missing' AS kind, unnest(['date_start', 'is_special', 'period_name']) AS column_name
-UNION ALL SELECT 'extra', unnest(['entity_id', 'points', 'pool_id', 'price', 'team_id'])""",
+    f"WITH {FACT0}, {PERIODS} "
+    + " UNION ALL ".join(
+        [f"SELECT 'missing' AS kind, '{c}' AS column_name, count({c}) AS n_filled FROM dim_period" for c in _PERIOD_ONLY]
+        + [f"SELECT 'extra', '{c}', count({c}) FROM fact0" for c in _FACT_ONLY]
+    ),
 )
 def _(spark, d):
-    diff = st.column_diff(dim_period(spark, d), base_fact(spark, d))
-    return spark.createDataFrame([(k, c) for k, v in diff.items() for c in v], "kind string, column_name string")
+    return st.column_diff_counts(dim_period(spark, d), base_fact(spark, d))
 
 
 @query(
@@ -1031,3 +1036,41 @@ def _(spark, d):
 )
 def _(spark, d):
     return read_table(spark, d, "events").select("event_id", fx.json_field(F.col("props"), "k int", "k").alias("k"))
+
+
+# ---------------------------------------------------------------- plans for hot keys
+
+
+@query("w2_trailing_mean_split", ORACLE["w2_trailing_mean"])
+def _(spark, d):
+    """The plan for keys too large for one task."""
+    rows = wn.trailing_mean(_events(spark, d), *_EV_KEYS, "value", 5, max_group_rows=20)
+    return tidy(rows.select("event_id", "value_last_5_avg"))
+
+
+@query("w6_season_to_date_mean_split", ORACLE["w6_season_to_date_mean"])
+def _(spark, d):
+    """The plan for keys too large for one task."""
+    rows = wn.season_to_date_mean(base_fact(spark, d), "entity_id", "season", "period_id", "points", None, 0)
+    return tidy(rows.select("entity_id", "period_id", "points_season_avg"))
+
+
+@query("w7_forward_fill_split", ORACLE["w7_forward_fill"])
+def _(spark, d):
+    """The plan for keys too large for one task."""
+    rows = _events(spark, d).withColumn("v", F.when(F.col("event_type") != "error", F.col("value")))
+    return wn.forward_fill(rows, *_EV_KEYS, "v", -1.0, max_group_rows=0).select("event_id", "v_filled")
+
+
+@query("a9_dist_summary_split", ORACLE["a9_dist_summary"])
+def _(spark, d):
+    """The plan for keys too large for one task."""
+    keys = ["l_returnflag", "l_linestatus"]
+    return tidy(ag.dist_summary(read_table(spark, d, "lineitem"), keys, "l_extendedprice", max_group_rows=0))
+
+
+@query("j9_asof_carry_split", ORACLE["j9_asof_carry"])
+def _(spark, d):
+    """The plan for keys too large for one task."""
+    obs = base_fact(spark, d).select("entity_id", F.col("period_id").alias("seen"), "points")
+    return jn.asof_carry(_spine(spark, d), obs, "entity_id", "period_id", "seen", "points", {"points": 1500.0}, max_group_rows=0)

@@ -32,7 +32,7 @@ from leaguelens.plans import selection as se
 from leaguelens.session import checkpointed, shared_folder
 from leaguelens.sources.tables import read_table
 from leaguelens.streaming.append_stream import stream_append_new
-from leaguelens.streaming.rating_stream import stream_rating
+from leaguelens.streaming.rating_stream import open_ratings, stream_rating
 
 # ---------------------------------------------------------------- selections
 
@@ -483,7 +483,11 @@ def _(spark, d):
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
-@query("m2_split_hash")
+@query(
+    "m2_split_hash",
+    f"""WITH {FACT0} SELECT entity_id, period_id,
+('0x' || substr(md5(entity_id || '|' || period_id), 1, 8))::BIGINT / 4294967296.0 < 0.2 AS is_test FROM fact0""",
+)
 def _(spark, d):
     train, test = ml.split_hash(base_fact(spark, d).select("entity_id", "period_id"), ["entity_id", "period_id"])
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
@@ -613,27 +617,43 @@ def _(spark, d):
     return spark.read.schema(rows.schema).parquet(f"{home}/out")
 
 
-_YEARLY = f"""{FACT0}, resolved AS (SELECT pool_id, season, CAST(season AS BIGINT) AS period_id, entity_id AS entity,
-  CAST(row_number() OVER (PARTITION BY pool_id, season ORDER BY round(sum(points), 4) DESC, entity_id) AS DOUBLE) AS rating_position
-  FROM fact0 GROUP BY pool_id, season, entity_id)"""
+def _standings_sql(period: str) -> str:
+    return f"""{FACT0}, resolved AS (SELECT pool_id, season, CAST({period} AS BIGINT) AS period_id, entity_id AS entity,
+  CAST(row_number() OVER (PARTITION BY pool_id, season, {period} ORDER BY round(sum(points), 4) DESC, entity_id) AS DOUBLE) AS rating_position
+  FROM fact0 GROUP BY pool_id, season, {period}, entity_id)"""
+
 
+def _standings(spark, d, period):
+    """Positions by summed points in each season and period."""
+    sums = base_fact(spark, d).groupBy("pool_id", "season", period.alias("period_id"), F.col("entity_id").alias("entity"))
+    sums = sums.agg(F.round(F.sum("points"), 4).alias("points"))
+    rows = number_rows(sums, ["pool_id", "season", "period_id"], ["-points", "entity"], "rating_position")
+    position = F.col("rating_position").cast("double").alias("rating_position")
+    return rows.select("pool_id", "season", F.col("period_id").cast("long").alias("period_id"), "entity", position)
 
-@query("x1_stream_rating", rating_sql(_YEARLY))
+
+@query("g9_sequential_rating_split", rating_sql(_standings_sql("season")))
 def _(spark, d):
-    """Yearly standings rated as a stream."""
+    """The plan for pools and periods too large for one task, over yearly standings."""
+    rows = checkpointed(_standings(spark, d, F.col("season")))
+    out = rt.sequential_rating(rows, "pool_id", pool_rows=0, period_rows=0)
+    return out.withColumns({c: F.round(c, 4) for c in rt.RATING_COLUMNS})
+
+
+@query("x1_stream_rating", rating_sql(_standings_sql("season * 10 + (period_num + 2) // 3")))
+def _(spark, d):
+    """Quarterly standings rated as a stream of several batches, with quarters split between them."""
     home = shared_folder(spark, "stream")
-    yearly = base_fact(spark, d).groupBy("pool_id", "season", F.col("entity_id").alias("entity"))
-    yearly = yearly.agg(F.round(F.sum("points"), 4).alias("points"))
-    rows = number_rows(yearly, ["pool_id", "season"], ["-points", "entity"], "rating_position")
-    rows = rows.select(
-        "pool_id",
-        "season",
-        F.col("season").cast("long").alias("period_id"),
-        "entity",
-        F.col("rating_position").cast("double").alias("rating_position"),
-    )
-    rows.write.parquet(f"{home}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
+    rows = checkpointed(_standings(spark, d, F.expr("season * 10 + (period_num + 2) div 3")))
+    # files in order of time, each ending inside a quarter
+    files = rows.withColumn("__file", F.floor((F.col("season") * 4 + F.col("period_id") % 10 + F.col("entity") % 2) / 6))
+    names = sorted(r[0] for r in files.select("__file").distinct().collect())
+    for k in names:
+        part = files.filter(F.col("__file") == k).drop("__file")
+        part.coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
     stream_rating(stream, home, "pool_id", "entity", f"{home}/cp").awaitTermination()
-    out = spark.read.parquet(f"{home}/rated").select(*rows.columns, *rt.RATING_COLUMNS)
+    closed = spark.read.parquet(f"{home}/rated").select(*rows.columns, *rt.RATING_COLUMNS)
+    last = open_ratings(spark, rows.schema, home, "pool_id", "entity", len(names) - 1)
+    out = closed.unionByName(last.select(*rows.columns, *rt.RATING_COLUMNS))
     return out.withColumns({c: F.round(c, 4) for c in rt.RATING_COLUMNS})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaguelens.operators.common import (
@@ -13,9 +13,8 @@ from leaguelens.operators.common import (
     Order,
     as_list,
     attach,
-    fits_one_task,
     number_rows,
-    window,
+    running_total,
 )
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
@@ -101,42 +100,41 @@ def dist_summary(
     keys: Order,
     col: str,
     qs: Sequence[float] = QUANTILES,
-    tie: Order = (),
     max_group_rows: int | None = GROUP_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Count, mean, sample deviation and exact (interpolated) quantiles.
 
-    Values are ranked and the two ranks around each quantile are read. Ranking
-    sorts, which spills; ``percentile`` would hold a group's distinct values in
-    memory. Groups beyond ``max_group_rows`` are ranked by a range-partitioned
-    sort; there ``tie`` makes the order total.
+    With ``max_group_rows=None`` the caller says that a group fits a task, and one
+    aggregate without a sort gives all. Else distinct values are counted first, which
+    combines a hot value before any shuffle, and a quantile is read where the running
+    count passes its rank; too many distinct values are spread over range partitions.
+    ``carry`` names columns that follow from the keys.
     """
     keys = as_list(keys)
     moments = {
         "n": F.count(col),
         f"mean_{col}": F.avg(col),
         f"std_{col}": F.stddev_samp(col),
+        **{c: F.first(c) for c in carry},
     }
-    order = [col, *as_list(tie)]
-    at = {quantile_name(q): 1 + q * (F.col("__n") - 1) for q in qs}
+    names = [quantile_name(q) for q in qs]
+    if max_group_rows is None:
+        found = group_agg(df, keys, {**moments, "__q": F.percentile(col, F.array(*map(F.lit, qs)))})
+        return found.withColumns({n: F.get("__q", F.lit(k)) for k, n in enumerate(names)}).drop("__q")
+    base = group_agg(df, keys, moments)
+    values = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_total(values, keys, col, F.col("__c"), "__upto", max_group_rows)
+    placed = attach(upto, base.select(*keys, F.col("n").alias("__n")), keys)
     picks = {}
-    for name, rank in at.items():
-        lo = F.max(F.when(F.col("__rn") == F.floor(rank), F.col(col)))
-        hi = F.max(F.when(F.col("__rn") == F.ceil(rank), F.col(col)))
+    for name, q in zip(names, qs, strict=True):
+        rank = 1 + q * (F.col("__n") - 1)
+
+        def at(place: Column) -> Column:
+            return F.max(F.when((F.col("__upto") - F.col("__c") < place) & (place <= F.col("__upto")), F.col(col)))
+
+        lo, hi = at(F.floor(rank)), at(F.ceil(rank))
         picks[name] = lo + (hi - lo) * F.max(rank - F.floor(rank))
-    if fits_one_task(df, keys, max_group_rows):
-        # NULLs rank behind the values, so no quantile picks them
-        ranked = df.withColumns(
-            {
-                "__rn": F.row_number().over(window(keys, order)),
-                "__n": F.count(col).over(Window.partitionBy(*keys)),
-            }
-        )
-        return group_agg(ranked, keys, {**moments, **picks})
-    base = group_agg(df, keys, moments)
-    values = df.filter(F.col(col).isNotNull()).select(*keys, *order)
-    ranked = number_rows(values, keys, order, "__rn", max_group_rows=0)
-    placed = attach(ranked, base.select(*keys, F.col("n").alias("__n")), keys)
     return attach(base, group_agg(placed, keys, picks), keys)
 
 

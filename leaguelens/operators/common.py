@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from leaguelens.session import checkpointed
 
 GROUP_ROWS = 2_000_000
+CHUNK_ROWS = 1_000_000
 CHUNK = "__chunk"
 Order = str | Column | Sequence[str | Column]
 
@@ -67,9 +68,12 @@ def fits_one_task(df: DataFrame, keys: Order, limit: int | None) -> bool:
     """True when every group is known to fit one task.
 
     ``limit=None`` says that the grain of ``df`` bounds the groups already,
-    for example one row per (entity, period) partitioned by entity.
+    for example one row per (entity, period) partitioned by entity, and a limit
+    of 0 that they are too large; neither counts anything.
     """
-    return limit is None or largest_group(df, keys) <= limit
+    if limit is None or limit == 0:
+        return limit is None
+    return largest_group(df, keys) <= limit
 
 
 def attach(df: DataFrame, right: DataFrame, keys: Order, how: str = "left") -> DataFrame:
@@ -84,14 +88,18 @@ def attach(df: DataFrame, right: DataFrame, keys: Order, how: str = "left") -> D
     return df.join(right, on, how).drop(*named.values())
 
 
-def range_chunks(df: DataFrame, keys: Order, order: Order) -> DataFrame:
+def range_chunks(df: DataFrame, keys: Order, order: Order, rows: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and number the partitions in ``__chunk``.
 
+    ``rows``, where counted, asks for chunks of about ``CHUNK_ROWS`` at most.
+
     Rows of one key are spread over consecutive chunks, each one partition in
     size. The result is checkpointed, so the chunk of a row stays the same
     for every reader, also after an executor is lost.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        parts = max(parts, -(-rows // CHUNK_ROWS))
     cols = [F.col(k).asc_nulls_last() for k in as_list(keys)] + ordering(order)
     spread = df.repartitionByRange(parts, *cols)
     return checkpointed(spread.withColumn(CHUNK, F.spark_partition_id()))
@@ -104,13 +112,18 @@ def running_total(
     value: Column,
     name: str,
     max_group_rows: int | None = GROUP_ROWS,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Running sum of ``value`` per key, current row included; ``order`` must be total."""
+    """Running sum of ``value`` per key; ``order`` must be total.
+
+    The current row counts if ``inclusive``; else the sum is that of the rows before,
+    never a difference, so infinities stay where they are.
+    """
     keys = as_list(keys)
-    upto = (Window.unboundedPreceding, Window.currentRow)
+    upto = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     if fits_one_task(df, keys, max_group_rows):
         return df.withColumn(name, F.sum(value).over(window(keys, order).rowsBetween(*upto)))
-    chunks = range_chunks(df, keys, order)
+    chunks = range_chunks(df, keys, order, df.count())
     sums = chunks.groupBy(*keys, CHUNK).agg(F.sum(value).alias("__sum"))
     earlier = window(keys, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, CHUNK, F.sum("__sum").over(earlier).alias("__before"))

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from leaguelens.operators.aggregates import max_or
 from leaguelens.operators.common import Order, as_list, attach, number_rows
+from leaguelens.operators.ordering import one_per_key
 
 
 def assign_keys(df: DataFrame, natural_key: Order, order: Order, id_col: str) -> DataFrame:
     """Ids 1..N over the distinct natural keys in sort order."""
-    return number_rows(df.dropDuplicates(as_list(natural_key)), [], order, id_col)
+    return number_rows(one_per_key(df, natural_key), [], order, id_col)
 
 
 def extend_keys(new: DataFrame, dim: DataFrame, key: Order, order: Order, id_col: str) -> DataFrame:
     """The dimension plus unseen members, numbered on from its highest id."""
     key = as_list(key)
-    unseen = new.dropDuplicates(key).join(dim, key, "left_anti")
+    unseen = one_per_key(new, key).join(dim, key, "left_anti")
     last = max_or(dim, id_col, 0, "__last").select("__last").scalar()
     added = number_rows(unseen, [], order, id_col).withColumn(id_col, F.col(id_col) + last)
     return dim.unionByName(added, allowMissingColumns=True)

@@ -69,9 +69,18 @@ def next_period(calendar: DataFrame, period: str, start: str, at) -> DataFrame:
     )
 
 
-def sample_violations(df: DataFrame, n: int = 10) -> DataFrame:
-    """Some failing rows for a report."""
-    return df.limit(n)
+def sample_violations(df: DataFrame, n: int = 10, order: Order = ()) -> DataFrame:
+    """The first ``n`` failing rows for a report, by ``order`` or else by all columns."""
+    return df.orderBy(*ordering(as_list(order) or df.columns)).limit(n)
+
+
+def one_per_key(df: DataFrame, keys: Order) -> DataFrame:
+    """One row per key, the least by its other columns: the same on every run."""
+    keys = as_list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
 def dedupe(df: DataFrame, keys: Order, order: Order) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaguelens.operators.common import Order, as_list
@@ -18,22 +18,39 @@ def findings(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, FINDING)
 
 
+def _found(df: DataFrame, table: str, rows: list[tuple[str, str | None, Column]]) -> DataFrame:
+    """Findings (check, column, aggregate) about a table, in one pass over it; a finding counts one row at least."""
+    cells = [
+        F.struct(F.lit(check).alias("check_name"), F.lit(col).cast("string").alias("column_name"), F.greatest(n, F.lit(1)).alias("n_bad"))
+        for check, col, n in rows
+    ]
+    out = df.agg(F.array(*cells).alias("__found")).select(F.inline("__found"))
+    return out.select(F.lit(table).alias("table_name"), "check_name", "column_name", F.col("n_bad").cast("long").alias("n_bad"))
+
+
 def check_exists_nonempty(spark, tables: dict[str, DataFrame], expected: Sequence[str]):
     """V1: expected tables that are absent or empty."""
-    rows = []
+    out = [findings(spark, [(name, "exists", None, 1) for name in expected if name not in tables])]
     for name in expected:
-        if name not in tables:
-            rows.append((name, "exists", None, 1))
-        elif not tables[name].limit(1).count():
-            rows.append((name, "not_empty", None, 1))
-    return findings(spark, rows)
+        if name in tables:
+            empty = tables[name].agg(F.count(F.lit(1)).alias("__n")).filter("__n = 0")
+            out.append(
+                empty.select(
+                    F.lit(name).alias("table_name"),
+                    F.lit("not_empty").alias("check_name"),
+                    F.lit(None).cast("string").alias("column_name"),
+                    F.lit(1).cast("long").alias("n_bad"),
+                )
+            )
+    return reduce(DataFrame.unionByName, out)
 
 
 def check_columns(df: DataFrame, required: Sequence[str], name: str = "table") -> DataFrame:
-    """V2: required columns that are absent, names with stray blanks."""
-    rows = [(name, "required_column", c, 1) for c in required if c not in df.columns]
-    rows += [(name, "column_whitespace", c, 1) for c in df.columns if c != c.strip()]
-    return findings(df.sparkSession, rows)
+    """V2: required columns that are absent and names with stray blanks, each with the rows it concerns."""
+    rows = F.count(F.lit(1))
+    bad = [("required_column", c, rows) for c in required if c not in df.columns]
+    bad += [("column_whitespace", c, F.count(F.col(f"`{c}`"))) for c in df.columns if c != c.strip()]
+    return _found(df, name, bad) if bad else findings(df.sparkSession, [])
 
 
 def check_not_null(df: DataFrame, cols: Sequence[str], name: str = "table") -> DataFrame:
@@ -84,10 +101,12 @@ def check_join_coverage(df: DataFrame, group: Order, col: str) -> DataFrame:
 
 
 def check_schema_parity(a: DataFrame, b: DataFrame, name: str = "table") -> DataFrame:
-    """V8: columns only one of two frames has."""
-    diff = column_diff(a, b)
-    rows = [(name, f"{kind}_column", c, 1) for kind in ("missing", "extra") for c in diff[kind]]
-    return findings(a.sparkSession, rows)
+    """V8: columns only one of two frames has, each with its filled values there."""
+    diff, out = column_diff(a, b), [findings(a.sparkSession, [])]
+    for kind, df in (("missing", a), ("extra", b)):
+        if diff[kind]:
+            out.append(_found(df, name, [(f"{kind}_column", c, F.count(F.col(f"`{c}`"))) for c in diff[kind]]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def check_leakage(df: DataFrame, cols: Sequence[str], name: str = "table") -> DataFrame:

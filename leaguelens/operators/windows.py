@@ -142,10 +142,9 @@ def season_to_date_mean(df, keys, season, order, col, name=None, max_group_rows=
         frame = window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.avg(col).over(frame))
     value, one = F.coalesce(F.col(col).cast("double"), F.lit(0.0)), F.col(col).isNotNull().cast("long")
-    out = running_total(df, keys, order, value, "__sum", max_group_rows=0)
-    out = running_total(out, keys, order, one, "__n", max_group_rows=0)
-    mean = F.try_divide(F.col("__sum") - value, F.col("__n") - one)
-    return out.withColumn(name, mean).drop("__sum", "__n")
+    out = running_total(df, keys, order, value, "__sum", max_group_rows=0, inclusive=False)
+    out = running_total(out, keys, order, one, "__n", max_group_rows=0, inclusive=False)
+    return out.withColumn(name, F.try_divide("__sum", "__n")).drop("__sum", "__n")
 
 
 def forward_fill(df, keys, order, col, default=None, name=None, max_group_rows=GROUP_ROWS):

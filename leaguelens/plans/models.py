@@ -33,7 +33,8 @@ def split_last_periods(df: DataFrame, period: str = "period_id", n: int = 4):
 def split_hash(df: DataFrame, key: Order, frac: float = 0.2):
     """M2: (train, test) by a hash of the key, the same on every run and partitioning."""
     cols = [key] if isinstance(key, str) else list(key)
-    u = F.pmod(F.xxhash64(*cols), F.lit(1_000_000)) / 1_000_000
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return df.filter(u >= frac), df.filter(u < frac)
 
 

@@ -40,22 +40,28 @@ def residuals(
     return rows if runs is None else rows.join(runs, "prediction_run_id", "left")
 
 
-def residual_bucket_stats(rows: DataFrame, tie: Order = ("period_id", "entity_id")) -> DataFrame:
+def residual_bucket_stats(rows: DataFrame) -> DataFrame:
     """Distribution of residuals per bucket."""
-    return dist_summary(rows, "prediction_bucket", "residual", tie=tie)
+    return dist_summary(rows, "prediction_bucket", "residual")
 
 
 def draw_index(key: Column, sim: Column, seed: int, size: Column) -> Column:
-    """A reproducible pseudo-random index below ``size``, in 64-bit integers.
+    """A reproducible pseudo-random index below ``size``, uniform for any size a long can hold.
 
-    The mix is not linear: with a linear one two entities would draw in step.
-    ``rand`` would depend on the partitioning.
+    Two streams of 31 bits are joined to one number. Each mixes by fifth powers modulo
+    a prime, which permute the residues and are not linear: with a linear mix two
+    entities would draw in step. ``rand`` would depend on the partitioning.
     """
     p = 2147483647
-    h0 = (sim * 7919 + key * 104729 + seed * 1299709) % p
-    h1 = (h0 * 48271 + key * 31 + sim) % p
-    h2 = (h1 * 69621 + key * 31 + sim) % p
-    return ((h2 % 46340) * (h2 % 46337) + F.floor(h2 / 46340)) % size
+
+    def fifth(x: Column) -> Column:
+        square = (x * x) % p
+        return ((square * square) % p * x) % p
+
+    a = fifth((sim * 7919 + key * 104729 + seed * 1299709) % p)
+    b = fifth((sim * 15485863 + key * 32452843 + seed * 49979687 + 1) % p)
+    a, b = fifth((a + key * 31 + sim) % p), fifth((b + key + sim * 17) % p)
+    return (a * p + b) % size
 
 
 def bootstrap_outcomes(
@@ -112,10 +118,12 @@ def summarize_outcomes(
 ) -> DataFrame:
     """Outcome distribution per entity with value and risk measures.
 
-    A key has ``n_sims`` rows, so the exact quantiles fit a task. Value per
-    price is NULL at price zero.
+    A key has ``n_sims`` rows, so the exact quantiles fit a task, and an entity has one
+    row per period, so the other keys follow from the first two. Value per price is NULL
+    at price zero.
     """
-    out = dist_summary(sims, list(keys), "simulated_points", max_group_rows=None)
+    grain, rest = list(keys)[:2], list(keys)[2:]
+    out = dist_summary(sims, grain, "simulated_points", max_group_rows=None, carry=rest)
     mean = F.col("mean_simulated_points")
     return out.withColumns(
         {

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaguelens.operators.common import Order, as_list, number_rows
 from leaguelens.operators.keys import next_run_id
-from leaguelens.sources.tables import append_table
+from leaguelens.sources.tables import append_table, read_or_empty
 
 _QUANTILES = "p05 double, p10 double, p25 double, median double, p75 double, p90 double, p95 double"
 
@@ -60,11 +59,7 @@ def log_schema(name: str) -> T.StructType:
 
 def read_log(spark: SparkSession, home: str, name: str) -> DataFrame:
     """A log's rows; none before its first append."""
-    schema = log_schema(name)
-    try:
-        return spark.read.schema(schema).parquet(f"{home}/{name}")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return read_or_empty(spark, f"{home}/{name}", log_schema(name))
 
 
 def append_log(df: DataFrame, home: str, name: str) -> None:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaguelens.operators.common import Order, as_list, ordering
+from leaguelens.operators.ordering import one_per_key
 from leaguelens.session import tune
 
 SCHEMAS = {
@@ -41,6 +43,16 @@ def read_table(spark: SparkSession, folder: str, name: str, schema: str | None =
     return tune(spark).read.schema(schema or SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table's rows; none where nothing was written yet. Any other failure is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def overwrite_table(df: DataFrame, path: str, partition_by: Order = None) -> None:
     """Create or replace a table."""
     df.write.mode("overwrite").partitionBy(*as_list(partition_by)).parquet(path)
@@ -52,9 +64,9 @@ def append_table(df: DataFrame, path: str, cols: Sequence[str]) -> None:
 
 
 def new_rows(df: DataFrame, target: DataFrame, keys: Order) -> DataFrame:
-    """Rows whose key the target lacks, one per key."""
+    """Rows whose key the target lacks, one per key, the least by its other columns."""
     keys = as_list(keys)
-    return df.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    return one_per_key(df.join(target.select(*keys), keys, "left_anti"), keys)
 
 
 def append_new_only(df: DataFrame, path: str, keys: Order) -> None:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from leaguelens.operators.common import Order, as_list
-from leaguelens.sources.tables import new_rows
+from leaguelens.sources.tables import new_rows, read_or_empty
 
 
 def stream_append_new(stream: DataFrame, target: str, keys: Order, checkpoint: str) -> StreamingQuery:
@@ -19,11 +18,7 @@ def stream_append_new(stream: DataFrame, target: str, keys: Order, checkpoint: s
     keys, schema = as_list(keys), stream.schema
 
     def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(schema).parquet(target)
-        except AnalysisException:  # nothing written yet
-            held = spark.createDataFrame([], schema)
+        held = read_or_empty(batch.sparkSession, target, schema)
         new_rows(batch, held, keys).write.mode("append").parquet(target)
 
     return (

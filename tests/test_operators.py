@@ -25,6 +25,9 @@ from leaguelens.plans import outcomes as oc
 from leaguelens.plans import staging as sg
 from leaguelens.sources import landing as ld
 from leaguelens.sources import tables as tb
+from leaguelens.operators.ordering import one_per_key
+from leaguelens.plans.outcomes import draw_index
+from leaguelens.sources.tables import read_or_empty
 from leaguelens.streaming.append_stream import stream_append_new
 
 
@@ -255,6 +258,36 @@ def test_stream_append_new_matches_batch(spark):
     assert rows(spark.read.schema(df.schema).parquet(f"{home}/out")) == rows(df.distinct())
 
 
+def test_a_broken_target_is_not_an_empty_one(spark):
+    home = tempfile.mkdtemp(prefix="leaguelens-test-")
+    schema = spark.createDataFrame([], "a int").schema
+    assert read_or_empty(spark, f"{home}/none", schema).count() == 0
+    with pytest.raises(Exception, match="(?i)cannot|unsupported|not"):
+        read_or_empty(spark, f"nowhere://{home}", schema).count()
+
+
+def test_survivors_do_not_depend_on_the_order_of_rows(spark):
+    data = [(1, "b", 2), (1, "a", 9), (2, None, 1), (1, "a", 3)]
+    for part in (data, data[::-1]):
+        assert rows(one_per_key(spark.createDataFrame(part, "k int, s string, n int"), "k")) == [(1, "a", 3), (2, None, 1)]
+
+
+@pytest.mark.parametrize("size", [1_000, 1_000_000_000, 4_000_000_000])
+def test_draws_are_uniform_at_any_size(spark, size):
+    import numpy as np
+
+    sims = spark.range(200).select(F.col("id").alias("sim")).crossJoin(spark.range(1000).select((F.col("id") * 613 + 199901).alias("key")))
+    drawn = sims.select("sim", "key", draw_index(F.col("key"), F.col("sim"), 42, F.lit(size).cast("long")).alias("i")).toPandas()
+    u = np.sort((drawn["i"].to_numpy() + 0.5) / size)
+    assert 0 <= u[0] and u[-1] < 1
+    gap = np.abs(u - (np.arange(len(u)) + 0.5) / len(u)).max()
+    assert gap < 1.95 / np.sqrt(len(u)) + 1 / size  # Kolmogorov-Smirnov at one in a thousand
+    # neither entities nor simulations draw in step
+    table = drawn.pivot(index="key", columns="sim", values="i").to_numpy(float)
+    assert abs(np.corrcoef(table[:-1].ravel(), table[1:].ravel())[0, 1]) < 0.01
+    assert abs(np.corrcoef(table[:, :-1].ravel(), table[:, 1:].ravel())[0, 1]) < 0.01
+
+
 def test_ridge_matches_the_closed_form(spark):
     import numpy as np
     from pyspark.ml.feature import VectorAssembler

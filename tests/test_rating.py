@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaguelens.plans import rating as rt
-from leaguelens.streaming.rating_stream import stream_rating
+from leaguelens.streaming.rating_stream import open_ratings, stream_rating
 
 P = rt.RatingParams()
 
@@ -87,11 +87,35 @@ def test_period_plan_with_rating_cells(results):
 def test_stream_equals_batch(spark, results):
     home = tempfile.mkdtemp(prefix="leaguelens-test-")
     rows, df = results
-    for season in sorted({r[1] for r in rows}):  # one file a season, in order
-        df.filter(F.col("season") == season).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    times = sorted({(r[1], r[2]) for r in rows})
+    of = {t: k for k, t in enumerate(times)}
+    # in order of time, each file with half of one period and half of the next
+    for k in range(len(times) + 1):
+        part = [r for r in rows if of[r[1], r[2]] + (r[3] in ("e1", "e3", "e5", "e7")) == k]
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(f"{home}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
     stream_rating(stream, home, "pool", "entity", f"{home}/cp").awaitTermination()
-    close(spark.read.parquet(f"{home}/rated"), want(rows))
+    closed = spark.read.parquet(f"{home}/rated")
+    assert closed.agg(F.max("period_id")).first()[0] < times[-1][1]
+    last = open_ratings(spark, df.schema, home, "pool", "entity", len(times))
+    close(closed.select(*last.columns).unionByName(last), want(rows))
+
+
+@pytest.mark.parametrize(
+    ("batches", "message"),
+    [
+        ([[(2020, 1, "a", 1.0), (2020, 1, "b", 2.0)], [(2020, 2, "a", 1.0)], [(2020, 1, "c", 3.0)]], "late result"),
+        ([[(2020, 1, "a", 1.0)], [(2020, 1, "a", 2.0)], [(2020, 2, "b", 1.0)]], "repeated entity"),
+    ],
+)
+def test_stream_raises_on_late_and_repeated_results(spark, batches, message):
+    home = tempfile.mkdtemp(prefix="leaguelens-test-")
+    schema = "season int, period_id long, entity string, rating_position double"
+    for rows in batches:
+        spark.createDataFrame([("p", *r) for r in rows], f"pool string, {schema}").coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(f"pool string, {schema}").option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    with pytest.raises(Exception, match=message):
+        stream_rating(stream, home, "pool", "entity", f"{home}/cp").awaitTermination()
 
 
 def test_single_pool_and_zero_sum(results):

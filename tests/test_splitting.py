@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaguelens.operators.aggregates import collect_sorted, dist_summary
-from leaguelens.operators.common import number_rows, running_total
+from leaguelens.operators.common import fits_one_task, number_rows, running_total
 from leaguelens.operators.joins import asof_carry
 from leaguelens.operators.windows import (
     change_and_pct,
@@ -60,7 +60,7 @@ OPS = {
     "fill_default": lambda df, m: forward_fill(df, "k", ORDER, "v", 9.0, None, m),
     "dense": lambda df, m: dense_rank_desc(df, "k", "v", None, m),
     "change": lambda df, m: change_and_pct(df, "k", ORDER, "v", m),
-    "quantiles": lambda df, m: dist_summary(df, "k", "v", tie="id", max_group_rows=m),
+    "quantiles": lambda df, m: dist_summary(df, "k", "v", max_group_rows=m),
 }
 
 
@@ -103,3 +103,27 @@ def test_collect_sorted_keeps_every_value(hot):
     want = sorted(r["id"] for r in hot.filter("k = 'hot'").collect())
     assert [x for p in parts for x in p["id_list"]] == want
     assert len(parts) == math.ceil(len(want) / 50)
+
+
+def test_season_mean_keeps_infinities_in_their_place(spark):
+    values = [1.0, 2.0, float("inf"), 4.0, 5.0, 7.0, None, 9.0]
+    df = spark.createDataFrame([("a", 1, i, v) for i, v in enumerate(values)], "k string, season int, t int, v double")
+    same(season_to_date_mean(df, "k", "season", "t", "v"), season_to_date_mean(df, "k", "season", "t", "v", None, 0))
+
+
+def test_a_hot_value_is_one_row_when_ranked(spark):
+    df = spark.range(10_000).select(F.lit("k").alias("k"), F.when(F.col("id") < 9_000, 5.0).otherwise(F.col("id") * 1.0).alias("v"))
+    for limit in (1_000_000, 0):
+        row = dist_summary(df, "k", "v", max_group_rows=limit).first()
+        assert (row["median"], row["p90"], row["p95"]) == (5.0, pytest.approx(5.0 + 0.1 * 8995), 9499.05)
+
+
+def test_sizing_counts_nothing_where_the_answer_is_given(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("sizing"))
+    spark.sparkContext.setJobGroup("sizing", "sizing")
+    try:
+        assert fits_one_task(df, "k", None) and not fits_one_task(df, "k", 0) and jobs() == 0
+        assert fits_one_task(df, "k", 5) and jobs() > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
