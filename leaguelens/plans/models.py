@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer,
+    OneHotEncoder,
+    SQLTransformer,
+    StandardScaler,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +28,9 @@ from leaguelens.operators.common import Order, number_rows
 from leaguelens.operators.keys import next_run_id
 
 ParamMap = dict
+# Parameters of a candidate, given the number of rows fitted and their label's deviation.
+Candidate = Callable[[int, float], ParamMap]
+MOST_DEPTH = 30  # of a tree in MLlib
 
 # ------------------------------------------------------------------ splits and baselines
 
@@ -103,37 +114,42 @@ def as_inputs(df: DataFrame, feats: Features) -> DataFrame:
     return df.withColumns(cols)
 
 
-def fill_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
-    """Most frequent value per categorical column, ties to the smallest."""
-    modes = {}
-    for c in cols:
-        row = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        if row is not None:
-            modes[c] = row[0]
-    return modes
-
-
 def preprocessor(feats: Features) -> list:
-    """M4: stages: median fill and scaling of numbers, one-hot categories.
+    """M4: stages: exact median fill and scaling of numbers, mode fill and one-hot categories.
 
-    An unseen or blank category becomes the zero vector.
+    All fills are fitted with the pipeline and saved with it. The indexer orders values by
+    frequency, then by name, so a blank takes index 0, the mode; a value that the fit did
+    not see becomes the zero vector.
     """
     filled = [f"{c}__f" for c in feats.numeric]
     stages: list = [
-        Imputer(strategy="median", inputCols=feats.numeric, outputCols=filled),
+        Imputer(strategy="median", inputCols=feats.numeric, outputCols=filled, relativeError=0.0),
         VectorAssembler(inputCols=filled, outputCol="__num"),
         StandardScaler(withMean=True, withStd=True, inputCol="__num", outputCol="__scaled"),
     ]
     parts = ["__scaled"]
     if feats.categorical:
         index = [f"{c}__i" for c in feats.categorical]
+        known = [f"{c}__m" for c in feats.categorical]
         hot = [f"{c}__h" for c in feats.categorical]
         stages.append(StringIndexer(inputCols=feats.categorical, outputCols=index, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True))
+        fills = ", ".join(f"CASE WHEN `{c}` IS NULL THEN 0.0D ELSE `{c}__i` END AS `{c}__m`" for c in feats.categorical)
+        stages.append(SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"))
+        stages.append(OneHotEncoder(inputCols=known, outputCols=hot, dropLast=True, handleInvalid="keep"))
         parts += hot
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
+def penalty(reg: LinearRegression, alpha: float, l1_ratio: float, label_std: float) -> ParamMap:
+    """MLlib's parameters for ``alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * |w|^2)`` beside half the mean squared error.
+
+    MLlib divides the squared part by the label's deviation, so that deviation goes into both.
+    """
+    squared = (1 - l1_ratio) * (label_std or 1.0)
+    total = l1_ratio + squared
+    return {reg.regParam: alpha * total, reg.elasticNetParam: l1_ratio / total if total else 0.0}
+
+
 def make_regressors(
     names: Sequence[str] = ("RandomForest", "GradientBoosting"),
     label: str = "points",
@@ -144,18 +160,21 @@ def make_regressors(
 ) -> dict[str, Estimator]:
     """M5: regressors by name.
 
-    Ridge strength follows the convention of a penalty on the sum of squares:
-    Spark divides by rows and by the label's deviation, so both are needed.
+    Ridge strength follows the convention of a penalty on the sum of squares, so it
+    needs the number of rows; see ``penalty`` for the label's deviation. Trees of the
+    forest are unlimited in depth, as far as MLlib goes.
     """
+    # The surveyed regressors' settings.
     ridge = 1.0 / (n or 1) * (label_std or 1.0)
+    mixed = 0.5 + 0.5 * (label_std or 1.0)
     lin = lambda **kw: LinearRegression(labelCol=label, **kw)
     every = {
         "Linear": lin(),
         "Ridge": lin(regParam=ridge, elasticNetParam=0.0, standardization=False),
         "Lasso": lin(regParam=0.01, elasticNetParam=1.0, standardization=False, maxIter=1000),
-        "ElasticNet": lin(regParam=0.01, elasticNetParam=0.5, standardization=False, maxIter=1000),
+        "ElasticNet": lin(regParam=0.01 * mixed, elasticNetParam=0.5 / mixed, standardization=False, maxIter=1000),
         "RandomForest": RandomForestRegressor(
-            labelCol=label, numTrees=trees, minInstancesPerNode=5, maxDepth=12, seed=201
+            labelCol=label, numTrees=trees, minInstancesPerNode=5, maxDepth=MOST_DEPTH, seed=201
         ),
         "GradientBoosting": GBTRegressor(
             labelCol=label, maxIter=rounds, stepSize=0.03, maxDepth=3, minInstancesPerNode=20, seed=201
@@ -169,12 +188,21 @@ def _errors(model: PipelineModel, df: DataFrame, label: str) -> tuple[float, flo
     return row["mae"], row["rmse"]
 
 
-def cross_validate(stages: list, folded: DataFrame, label: str, params: ParamMap | None = None):
+def _fitted(stages: list, rows: DataFrame, label: str, candidate: Candidate | None) -> PipelineModel:
+    """Fit the stages under a candidate, whose parameters may depend on the rows fitted."""
+    params = {}
+    if candidate is not None:
+        n, std = rows.agg(F.count(label), F.stddev_samp(label)).first()
+        params = candidate(n, std or 1.0)
+    return Pipeline(stages=stages).fit(rows, params)
+
+
+def cross_validate(stages: list, folded: DataFrame, label: str, candidate: Candidate | None = None):
     """Mean and population deviation of the MAE over expanding folds."""
     top = folded.agg(F.max("fold")).first()[0]
     scores = []
     for i in range(1, top + 1):
-        model = Pipeline(stages=stages).fit(folded.filter(F.col("fold") < i), params or {})
+        model = _fitted(stages, folded.filter(F.col("fold") < i), label, candidate)
         scores.append(_errors(model, folded.filter(F.col("fold") == i), label)[0])
     mean = sum(scores) / len(scores)
     return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
@@ -201,10 +229,7 @@ def fit_and_rank(
     The best model by cross-validated MAE is refitted on all rows.
     """
     spark = df.sparkSession
-    rows = as_inputs(df.filter(F.col(label).isNotNull()), feats).na.fill(
-        fill_modes(as_inputs(df, feats), feats.categorical)
-    )
-    rows = rows.cache()
+    rows = as_inputs(df.filter(F.col(label).isNotNull()), feats).cache()
     folded = expanding_folds(rows, order, folds).cache()
     train, test = split_last_periods(rows, n=test_periods)
 
@@ -224,44 +249,57 @@ def fit_and_rank(
     return spark.createDataFrame(results, RESULTS), best, model
 
 
-def default_grids(label: str = "points") -> dict[str, tuple[Estimator, list[ParamMap]]]:
-    """Parameter grids of the search; forests and boosting have the same number of candidates
-    as the grids they stand for where MLlib has the parameter."""
-    ridge = LinearRegression(labelCol=label, elasticNetParam=0.0, standardization=False)
-    net = LinearRegression(labelCol=label, standardization=False)
+@dataclass
+class Grid:
+    """An estimator, its candidates by the names they are reported under, and how one becomes parameters."""
+
+    reg: Estimator
+    candidates: list[dict]
+    params: Callable[[dict, int, float], ParamMap]
+
+    def of(self, values: dict) -> Candidate:
+        return lambda n, std: self.params(values, n, std)
+
+
+def default_grids(label: str = "points") -> dict[str, Grid]:
+    """Parameter grids of the search: 5, 20, 24 and 81 candidates."""
+    ridge = LinearRegression(labelCol=label, standardization=False)
+    net = LinearRegression(labelCol=label, standardization=False, maxIter=1000)
     forest = RandomForestRegressor(labelCol=label, seed=201)
     boost = GBTRegressor(labelCol=label, seed=201)
+
+    def cross(**values) -> list[dict]:
+        return [dict(zip(values, found, strict=True)) for found in product(*values.values())]
+
+    def tree(reg):
+        return lambda values, n, std: {reg.getParam(k): v for k, v in values.items()}
+
+    # The surveyed grids.
     return {
-        "Ridge": (ridge, ParamGridBuilder().addGrid(ridge.regParam, [0.01, 0.1, 1.0, 10.0, 100.0]).build()),
-        "ElasticNet": (
+        # a penalty on the sum of squares, hence divided by the rows
+        "Ridge": Grid(
+            ridge, cross(alpha=[0.01, 0.1, 1.0, 10.0, 100.0]), lambda v, n, std: penalty(ridge, v["alpha"] / n, 0.0, std)
+        ),
+        "ElasticNet": Grid(
             net,
-            ParamGridBuilder()
-            .addGrid(net.regParam, [0.001, 0.01, 0.1, 1.0])
-            .addGrid(net.elasticNetParam, [0.1, 0.3, 0.5, 0.7, 0.9])
-            .build(),
+            cross(alpha=[0.001, 0.01, 0.1, 1.0], l1_ratio=[0.1, 0.3, 0.5, 0.7, 0.9]),
+            lambda v, n, std: penalty(net, v["alpha"], v["l1_ratio"], std),
         ),
-        "RandomForest": (
+        "RandomForest": Grid(
             forest,
-            ParamGridBuilder()
-            .addGrid(forest.numTrees, [300, 500])
-            .addGrid(forest.maxDepth, [8, 12, 20, 30])
-            .addGrid(forest.minInstancesPerNode, [1, 3, 5])
-            .build(),
+            cross(numTrees=[300, 500], maxDepth=[8, 12, 20, MOST_DEPTH], minInstancesPerNode=[1, 3, 5]),
+            tree(forest),
         ),
-        "GradientBoosting": (
+        "GradientBoosting": Grid(
             boost,
-            ParamGridBuilder()
-            .addGrid(boost.maxIter, [100, 200, 400])
-            .addGrid(boost.stepSize, [0.02, 0.03, 0.05])
-            .addGrid(boost.maxDepth, [3, 4, 5])
-            .addGrid(boost.minInstancesPerNode, [5, 10, 20])
-            .build(),
+            cross(maxIter=[100, 200, 400], stepSize=[0.02, 0.03, 0.05], maxDepth=[3, 4, 5], minInstancesPerNode=[5, 10, 20]),
+            tree(boost),
         ),
     }
 
 
 def grid_search(
-    grids: dict[str, tuple[Estimator, list[ParamMap]]],
+    grids: dict[str, Grid],
     train: DataFrame,
     test: DataFrame,
     feats: Features,
@@ -275,19 +313,19 @@ def grid_search(
     Candidates run as concurrent Spark jobs over one cached, folded table.
     """
     spark = train.sparkSession
-    modes = fill_modes(as_inputs(train, feats), feats.categorical)
-    ready = lambda df: as_inputs(df.filter(F.col(label).isNotNull()), feats).na.fill(modes)
+    ready = lambda df: as_inputs(df.filter(F.col(label).isNotNull()), feats)
     train, test = ready(train).cache(), ready(test).cache()
     folded = expanding_folds(train, order, folds).cache()
     out = []
-    for name, (reg, grid) in grids.items():
-        stages = [*preprocessor(feats), reg]
+    for name, grid in grids.items():
+        stages = [*preprocessor(feats), grid.reg]
         with ThreadPoolExecutor(parallel) as pool:
-            scores = list(pool.map(lambda p: cross_validate(stages, folded, label, p)[0], grid))  # noqa: B023
-        i = min(range(len(grid)), key=scores.__getitem__)
-        model = Pipeline(stages=stages).fit(train, grid[i])
+            tried = lambda values: cross_validate(stages, folded, label, grid.of(values))[0]  # noqa: B023, E731
+            scores = list(pool.map(tried, grid.candidates))
+        i = min(range(len(scores)), key=scores.__getitem__)
+        model = _fitted(stages, train, label, grid.of(grid.candidates[i]))
         mae, rmse = _errors(model, test, label)
-        best = json.dumps({p.name: v for p, v in grid[i].items()}, sort_keys=True)
+        best = json.dumps(grid.candidates[i], sort_keys=True)
         out.append((name, scores[i], mae, rmse, best))
     for df in (folded, train, test):
         df.unpersist()
@@ -311,14 +349,13 @@ def score(model: PipelineModel, frame: DataFrame, feats: Features) -> DataFrame:
 
 def coefficients(model: PipelineModel, sample: DataFrame, feats: Features) -> DataFrame:
     """Coefficients or importances by feature, largest first."""
-    meta = model.transform(as_inputs(sample.limit(1), feats)).schema["features"].metadata
-    attrs = [a for group in meta["ml_attr"]["attrs"].values() for a in group]
-    names = {a["idx"]: a.get("name", str(a["idx"])) for a in attrs}
-    for i, c in enumerate(feats.numeric):
-        names[i] = c
+    names = list(feats.numeric)
+    indexer = next((x for x in model.stages if isinstance(x, StringIndexerModel)), None)
+    if indexer is not None:
+        names += [f"{c}={v}" for c, values in zip(feats.categorical, indexer.labelsArray, strict=True) for v in values]
     last = model.stages[-1]
     values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-    rows = [(names.get(i, str(i)), float(v), abs(float(v))) for i, v in enumerate(values.toArray())]
+    rows = [(n, float(v), abs(float(v))) for n, v in zip(names, values.toArray(), strict=True)]
     rows.sort(key=lambda r: (-r[2], r[0]))
     return sample.sparkSession.createDataFrame(rows, "feature string, value double, abs_value double")
 

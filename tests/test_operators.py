@@ -302,6 +302,44 @@ def test_ridge_matches_the_closed_form(spark):
     assert reg.fit(df).coefficients[0] == pytest.approx((xc @ yc) / (xc @ xc + alpha), rel=2e-3)
 
 
+def test_elastic_net_matches_its_definition(spark):
+    """Coordinate descent by hand on one feature: soft threshold over curvature plus the squared part."""
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=80)
+    y = 7 * x + rng.normal(size=80)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, points double")
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    xc, yc = x - x.mean(), y - y.mean()
+    for name, values in [("Ridge", {"alpha": 100.0}), ("ElasticNet", {"alpha": 1.0, "l1_ratio": 0.3})]:
+        grid = ml.default_grids()[name]
+        alpha, ratio = (values["alpha"] / 80, 0.0) if name == "Ridge" else (values["alpha"], values["l1_ratio"])
+        want = (xc @ yc / 80 - alpha * ratio) / (xc @ xc / 80 + alpha * (1 - ratio))
+        model = grid.reg.fit(df, grid.of(values)(80, float(np.std(y, ddof=1))))
+        assert model.coefficients[0] == pytest.approx(want, rel=5e-3)
+    sizes = {k: len(g.candidates) for k, g in ml.default_grids().items()}
+    assert sizes == {"Ridge": 5, "ElasticNet": 20, "RandomForest": 24, "GradientBoosting": 81}
+
+
+def test_a_blank_category_scores_as_the_mode(spark, tmp_path):
+    data = [(float(i % 7), "a" if i % 3 else "b", 2.0 * (i % 7) + (5.0 if i % 3 else 0.0)) for i in range(120)]
+    df = spark.createDataFrame(data, "x double, c string, points double")
+    feats = ml.Features(["x"], ["c"])
+    from pyspark.ml import Pipeline
+
+    reg = ml.make_regressors(["Linear"])["Linear"]
+    model = Pipeline(stages=[*ml.preprocessor(feats), reg]).fit(ml.as_inputs(df, feats))
+    ml.save_model(model, {"features": feats.all}, f"file://{tmp_path}")
+    model, _ = ml.load_model(spark, f"file://{tmp_path}")
+    new = spark.createDataFrame([(3.0, "a"), (3.0, None), (3.0, "b"), (3.0, "zzz")], "x double, c string")
+    a, blank, b, unseen = [r["predicted_points"] for r in ml.score(model, new, feats).collect()]
+    assert blank == pytest.approx(a) and abs(a - b) > 4 and unseen not in (a, b)
+    names = {r["feature"] for r in ml.coefficients(model, df, feats).collect()}
+    assert names == {"x", "c=a", "c=b"}
+
+
 def test_expanding_folds(spark):
     df = spark.createDataFrame([(i,) for i in range(23)], "t int")
     got = [r["fold"] for r in ml.expanding_folds(df, "t", 5).orderBy("t").collect()]
