@@ -125,8 +125,8 @@ def run_suite(tables: dict[str, DataFrame], spec: dict[str, dict]) -> DataFrame:
     """All declared checks as one finding table.
 
     ``spec[table]`` may hold ``columns``, ``not_null``, ``grain``, ``range``
-    (``{col: (lo, hi)}``), ``coverage`` (``(group, key, min_n)``) and
-    ``resolved``. Schema checks cost nothing; the rest stay one lazy query.
+    (``{col: (lo, hi)}``), ``coverage`` (``(group, key, min_n)``), ``filled``
+    (``(group, col)``: groups where the column is never filled) and ``resolved``. Schema checks cost nothing; the rest stay one lazy query.
     """
     spark = next(iter(tables.values())).sparkSession
     out = [check_exists_nonempty(spark, tables, list(spec))]
@@ -157,6 +157,8 @@ def run_suite(tables: dict[str, DataFrame], spec: dict[str, dict]) -> DataFrame:
             tally(check_range(df, col, lo, hi), table, "range", col)
         if "coverage" in rules:
             tally(check_coverage(df, *rules["coverage"]), table, "coverage")
+        if "filled" in rules:
+            tally(check_join_coverage(df, *rules["filled"]), table, "filled", rules["filled"][1])
         if "resolved" in rules:
             tally(check_resolved(df, rules["resolved"]), table, "resolved")
     return reduce(DataFrame.unionByName, out)

@@ -53,6 +53,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def overwrite_table(df: DataFrame, path: str, partition_by: Order = None) -> None:
     """Create or replace a table."""
     df.write.mode("overwrite").partitionBy(*as_list(partition_by)).parquet(path)
