@@ -131,21 +131,21 @@ def _(spark, d):
     return se.prior_selection(_config(spark, d), 199901, "pool 2", n_entities=3, n_teams=1)
 
 
-# Logs derived from the fact: one selection run and one simulation run per grid.
-RUNS = f"""sel AS (SELECT pool_id * 1000000 + period_id AS selection_run_id, * FROM fact WHERE position <= 5),
+# Logs derived from the fact: one selection run, of the whole field, and one simulation run per grid.
+RUNS = f"""sel AS (SELECT pool_id * 1000000 + period_id AS selection_run_id, * FROM fact),
 sel_run AS (SELECT selection_run_id, any_value(season) AS season, any_value(period_id) AS period_id,
   make_timestamp(any_value(season), any_value(period_num), 2, 0, 0, 0) AS created_at, 'pool ' || any_value(pool_id) AS selection_name,
   {rnd("sum(price)")} AS total_price, {rnd("sum(points)")} AS gross_points, min(CASE WHEN position = 1 THEN entity_id END) AS bonus_entity_id,
   bool_or(seed_position IS NULL) AS require_entity_from_each_team FROM sel GROUP BY selection_run_id),
 sel_rows AS (SELECT selection_run_id, 'entity' AS asset_type, position AS slot_num, entity_id AS asset_id, team_id, price, points, position = 1 AS is_bonus FROM sel),
 sim_run AS (SELECT selection_run_id + 7 AS simulation_run_id, created_at, period_id, 42 AS random_seed, 100 AS n_sims FROM sel_run),
-prof AS (SELECT selection_run_id + 7 AS simulation_run_id, 'top five' AS profile_name, CASE WHEN max(pool_id) < 3 THEN 'max_points' ELSE 'team_required' END AS profile_strategy,
+prof AS (SELECT selection_run_id + 7 AS simulation_run_id, 'whole field' AS profile_name, CASE WHEN max(pool_id) < 3 THEN 'max_points' ELSE 'team_required' END AS profile_strategy,
   CASE WHEN max(pool_id) < 4 THEN selection_run_id END AS selection_run_id, {_stats_sql("points").replace("mean_points", "mean_selection_points").replace("std_points", "std_selection_points")}
   FROM sel GROUP BY selection_run_id)"""
 
 
 def _logs(spark, d):
-    rows = checkpointed(fact(spark, d).filter("position <= 5"))
+    rows = checkpointed(fact(spark, d))
     run = (F.col("pool_id") * 1000000 + F.col("period_id")).alias("selection_run_id")
     sel = rows.select(run, "*")
     sel_run = sel.groupBy("selection_run_id").agg(
@@ -175,13 +175,13 @@ def _logs(spark, d):
         F.lit(42).alias("random_seed"),
         F.lit(100).alias("n_sims"),
     )
-    # five rows per run
+    # a run has the entities of one grid
     stats = dist_summary(sel, ["selection_run_id", "pool_id"], "points", max_group_rows=None)
     prof = stats.withColumnsRenamed({"mean_points": "mean_selection_points", "std_points": "std_selection_points"})
     prof = prof.withColumns(
         {
             "simulation_run_id": F.col("selection_run_id") + 7,
-            "profile_name": F.lit("top five"),
+            "profile_name": F.lit("whole field"),
             "profile_strategy": F.when(F.col("pool_id") < 3, "max_points").otherwise("team_required"),
             "selection_run_id": F.when(F.col("pool_id") < 4, F.col("selection_run_id")),
         }
@@ -201,7 +201,7 @@ def _(spark, d):
 
 @query(
     "g22_spend_analysis",
-    f"""WITH {_ASSETS}, picked AS (SELECT pool_id, period_id, 'entity' AS asset_type, price FROM fact WHERE position <= 5
+    f"""WITH {_ASSETS}, picked AS (SELECT pool_id, period_id, 'entity' AS asset_type, price FROM fact
 UNION ALL SELECT pool_id, period_id, 'team', price FROM teams)
 SELECT pool_id, period_id, {rnd("sum(price) FILTER (asset_type = 'entity')")} AS entity_spend, {rnd("sum(price) FILTER (asset_type = 'team')")} AS team_spend,
 {rnd("100 * sum(price) FILTER (asset_type = 'entity') / sum(price)")} AS entity_pct, {rnd("100 * sum(price) FILTER (asset_type = 'team') / sum(price)")} AS team_pct,
@@ -211,7 +211,7 @@ count(*) FILTER (asset_type = 'entity' AND price >= 20) AS n_premium FROM picked
 def _(spark, d):
     rows = checkpointed(fact(spark, d))
     teams = rows.groupBy(*_GRID, "team_id").agg(F.round(F.avg("price") + 1e-9, 4).alias("price"))
-    picked = rows.filter("position <= 5").select(*_GRID, F.lit("entity").alias("asset_type"), "price")
+    picked = rows.select(*_GRID, F.lit("entity").alias("asset_type"), "price")
     picked = picked.unionByName(teams.select(*_GRID, F.lit("team").alias("asset_type"), "price"))
     return tidy(se.spend_analysis(picked, _GRID))
 
