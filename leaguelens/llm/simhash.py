@@ -295,4 +295,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` that are the smallest key of their component, one of each, all columns kept."""
     groups = near_duplicates(docs, key, text)
     kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([key])
+    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    # whole rows are only dealt by key once more where a key is repeated
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates([key])
