@@ -131,6 +131,8 @@ def count_tokens(
     misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
     _encode(misses, path).write.mode("append").parquet(folder)
     stored = spark.read.schema(CACHE).parquet(folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # cut here, so that the join below is a join of two plain inputs, whose hot keys Spark splits
+    stored = checkpointed(stored)
     return rows.join(stored, "digest").select(
         F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
