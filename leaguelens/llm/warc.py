@@ -22,8 +22,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.session import checkpointed
-
 LEAST_PAYLOAD = 0  # payloads of fewer bytes are never written as revisits
 GAP = 64 << 10  # bytes between two records that are read rather than skipped
 RANGE = 4 << 20  # bytes fetched at once, unless one record is longer
@@ -126,9 +124,10 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     content = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), content.alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
-    # only payloads that occur more than once; written first, so that Spark knows its size before it plans the join
+    # only payloads that occur more than once, as a table: Spark knows its size when it plans the join
     again = rows.groupBy("sha").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = checkpointed(again.select("sha", "first"))
+    again.select("sha", "first").write.parquet(f"{folder}/repeated")
+    again = spark.read.parquet(f"{folder}/repeated")
     joined = rows.join(again.withColumn("twice", F.lit(True)), "sha", "left")
     index = joined.select("page", "url", "html", "first", "twice").mapInArrow(_write(_made(folder, "archives")), INDEX)
     index.write.parquet(f"{folder}/index")
