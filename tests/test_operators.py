@@ -211,7 +211,7 @@ def test_quality_suite(spark):
     }
     out = {(r["table_name"], r["check_name"]): r["n_bad"] for r in ql.run_suite({"t": df}, spec).collect()}
     assert out == {
-        ("u", "exists"): 1, ("t", "required_column"): 1, ("t", "not_null"): 1, ("t", "grain"): 1,
+        ("u", "exists"): 1, ("t", "required_column"): 3, ("t", "not_null"): 1, ("t", "grain"): 1,
         ("t", "range"): 1, ("t", "coverage"): 1, ("t", "resolved"): 1,
     }
     with pytest.raises(ValueError, match="grain"):
