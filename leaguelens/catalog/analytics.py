@@ -896,15 +896,9 @@ def _(spark, d):
 
 
 # Draws per score: fewer where every draw is a row of the result. The operator's default is 10,000.
-N_DRAWS, N_SIMS, SEED = 100, 400, 42
+N_DRAWS, N_SIMS, SEED = 40, 100, 42
 RES6 = f"""res6 AS (SELECT *, points - rp AS residual, CASE WHEN rp < 20 THEN '00_20' ELSE '20_plus' END AS prediction_bucket
   FROM (SELECT *, {rnd("predicted_points")} AS rp FROM pred WHERE predicted_points IS NOT NULL))"""
-def fifth(x: str) -> str:
-    """SQL: the fifth power modulo the prime that draws are mixed by."""
-    p = 2147483647
-    return f"(((({x}) * ({x}) % {p}) * (({x}) * ({x}) % {p}) % {p}) * ({x}) % {p})"
-
-
 def sims_sql(n_sims: int) -> str:
     return f"""pool AS (SELECT prediction_bucket, residual AS sampled_residual,
   row_number() OVER (PARTITION BY prediction_bucket ORDER BY residual, period_id, entity_id) - 1 AS idx,
@@ -913,9 +907,9 @@ sizes AS (SELECT prediction_bucket, count(*) AS size FROM res6 GROUP BY 1),
 k AS (SELECT r.period_id, r.entity_id, r.team_id, r.price, r.rp AS predicted_points, r.prediction_bucket, s.size, sim,
   (r.entity_id * 613 + r.period_id) % 2147483647 AS key
   FROM res6 r JOIN sizes s USING (prediction_bucket), (SELECT unnest(range(0, {n_sims})) AS sim)),
-a0 AS (SELECT *, {fifth(f"(sim * 7919 + key * 104729 + {SEED * 1299709}) % 2147483647")} AS a,
-  {fifth(f"(sim * 15485863 + key * 32452843 + {SEED * 49979687 + 1}) % 2147483647")} AS b FROM k),
-a1 AS (SELECT * REPLACE ({fifth("(a + key * 31 + sim) % 2147483647")} AS a, {fifth("(b + key + sim * 17) % 2147483647")} AS b) FROM a0),
+a0 AS (SELECT *, (sim * 7919 + key * 104729 + {SEED * 1299709}) % 2147483647 AS x,
+  (sim * 15485863 + key * 32452843 + {SEED * 49979687 + 1}) % 2147483647 AS y FROM k),
+a1 AS (SELECT *, (x * x % 2147483647 * x + key * 31 + sim) % 2147483647 AS a, (y * y % 2147483647 * y + key + sim * 17) % 2147483647 AS b FROM a0),
 sims AS (SELECT a1.*, p.sampled_residual, predicted_points + p.sampled_residual AS simulated_points FROM a1
   JOIN pool p ON p.prediction_bucket = a1.prediction_bucket AND p.idx = (a * 2147483647 + b) % a1.size)"""
 

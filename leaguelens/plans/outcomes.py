@@ -48,19 +48,17 @@ def residual_bucket_stats(rows: DataFrame) -> DataFrame:
 def draw_index(key: Column, sim: Column, seed: int, size: Column) -> Column:
     """A reproducible pseudo-random index below ``size``, uniform for any size a long can hold.
 
-    Two streams of 31 bits are joined to one number. Each mixes by fifth powers modulo
-    a prime, which permute the residues and are not linear: with a linear mix two
-    entities would draw in step. ``rand`` would depend on the partitioning.
+    Two streams of 31 bits are joined to one number. Each mixes by a cube modulo a prime,
+    which is not linear: with a linear mix two entities would draw in step. ``rand``
+    would depend on the partitioning.
     """
     p = 2147483647
 
-    def fifth(x: Column) -> Column:
-        square = (x * x) % p
-        return ((square * square) % p * x) % p
+    def cube(x: Column) -> Column:
+        return x * x % p * x
 
-    a = fifth((sim * 7919 + key * 104729 + seed * 1299709) % p)
-    b = fifth((sim * 15485863 + key * 32452843 + seed * 49979687 + 1) % p)
-    a, b = fifth((a + key * 31 + sim) % p), fifth((b + key + sim * 17) % p)
+    a = (cube((sim * 7919 + key * 104729 + seed * 1299709) % p) + key * 31 + sim) % p
+    b = (cube((sim * 15485863 + key * 32452843 + seed * 49979687 + 1) % p) + key + sim * 17) % p
     return (a * p + b) % size
 
 
