@@ -63,6 +63,37 @@ def bounded_sample(rows: DataFrame, key: Column, n: int, counts: DataFrame, grou
     return rows.where(spread_hash(key) < F.coalesce(F.try_element_at(share, F.col(group)), F.lit(0.0)))
 
 
+def text_digest(text: Column) -> Column:
+    """16 bytes that stand for a text; a null text counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def one_row_each(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each group of texts: that of the least key, then of the least digest; all columns stay.
+
+    ``groups`` is (id, root) of text digests; a text that it lacks is a group of its own.
+    Null keys come last. Of rows equal in key and text, one stays.
+    """
+    seen = docs.select(text_digest(F.col(text)).alias("id"), F.col(key).alias("key")).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    least = seen.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "n")).alias("x"))
+    least = least.join(groups, "id", "left").select(
+        F.coalesce("root", "id").alias("root"), F.struct("x.last", "x.key", "id", "x.n").alias("x")
+    )
+    kept = least.groupBy("root").agg(F.min("x").alias("x"))
+    kept = checkpointed(kept.select(F.col("x.key").alias("__kept"), F.col("x.id").alias("__of"), F.col("x.n").alias("__n")))
+
+    def among(which: DataFrame) -> DataFrame:
+        rows = docs.withColumn("__id", text_digest(F.col(text)))
+        return rows.join(which, (F.col("__id") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+
+    # whole rows are only dealt once more where a key is repeated with its text
+    repeated = kept.where("__n > 1")
+    if repeated.isEmpty():
+        return among(kept).select(docs.columns)
+    twice = among(repeated).dropDuplicates([key, "__id"])
+    return among(kept.where("__n = 1")).unionByName(twice).select(docs.columns)
+
+
 def send(spark: SparkSession, value):
     """A broadcast of fitted values, whose size the caller bounds."""
     return spark.sparkContext.broadcast(value)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import components, in_batches, local_stars
+from leaguelens.llm.common import components, in_batches, local_stars, one_row_each, text_digest
 from leaguelens.session import checkpointed
 
 BUDGET = 3
@@ -292,10 +292,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest key of their component, one of each, all columns kept."""
-    groups = near_duplicates(docs, key, text)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    # whole rows are only dealt by key once more where a key is repeated
-    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates([key])
+    """One row of each component, see ``one_row_each``."""
+    texts = docs.select(text_digest(F.col(text)).alias("id"), F.col(text).alias("text"))
+    groups = near_duplicates(texts, "id", "text").select("id", F.col("component_id").alias("root")).distinct()
+    return one_row_each(docs, groups, key, text)
