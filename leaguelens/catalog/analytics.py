@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaguelens.catalog.fixture import (
     DIMS,
@@ -20,7 +21,9 @@ from leaguelens.catalog.registry import ORACLE, query, rnd, tidy
 from leaguelens.operators import keys as ky
 from leaguelens.operators import quality as ql
 from leaguelens.operators import windows as wn
+from leaguelens.plans import draws as dw
 from leaguelens.plans import facts as fa
+from leaguelens.plans import feature_state as fs
 from leaguelens.plans import features as fe
 from leaguelens.plans import outcomes as oc
 from leaguelens.plans import rating as rt
@@ -29,6 +32,7 @@ from leaguelens.plans.profile import source_name_reconciliation, unresolved_name
 from leaguelens.session import checkpointed, shared_folder
 from leaguelens.sources import landing as ld
 from leaguelens.sources import tables as tb
+from leaguelens.sources.key_index import KeyIndex
 from leaguelens.sources.tables import read_table
 
 # ---------------------------------------------------------------- files
@@ -146,6 +150,20 @@ def _(spark, d):
     return ky.extend_keys(orders.select("o_custkey"), dim, "o_custkey", "o_custkey", "member_id")
 
 
+@query("d2_extend_keys_stored", ORACLE["d2_extend_keys"])
+def _(spark, d):
+    """The dimension as a stored table: two deliveries extend it through the index of its keys."""
+    orders = read_table(spark, d, "orders")
+    first = orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    path = shared_folder(spark, "dimension")
+    ky.assign_keys(first, "o_custkey", "o_custkey", "member_id").select("o_custkey", "member_id").write.parquet(path)
+    schema = T.StructType.fromDDL("o_custkey long, member_id long")
+    index = KeyIndex(path, schema, "o_custkey", number="member_id")
+    index.extend(orders.select("o_custkey"), "o_custkey")
+    index.extend(first, "o_custkey")
+    return spark.read.schema(schema).parquet(path)
+
+
 @query(
     "d3_number_within_season",
     """WITH m AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS season, date_trunc('day', o_orderdate)::TIMESTAMP AS day FROM orders)
@@ -693,6 +711,57 @@ def _(spark, d):
     return tidy(fe.scoring_frame_team(target, prices, teams, team_feature_table(spark, d)))
 
 
+def _in_steps(state, rows):
+    """Build the earlier three fifths of the periods, then add the rest in two steps."""
+    cuts = rows.agg(F.percentile_approx("period_id", [0.6, 0.8])).first()[0]
+    state.extend(rows.filter(F.col("period_id") <= cuts[0]))
+    state.extend(rows.filter((F.col("period_id") > cuts[0]) & (F.col("period_id") <= cuts[1])))
+    state.extend(rows.filter(F.col("period_id") > cuts[1]))
+    return state
+
+
+def _entity_state(spark, d):
+    rows = checkpointed(dated_fact(spark, d))
+    return _in_steps(fs.FeatureState(spark, shared_folder(spark, "entity-state"), fs.ENTITY), rows)
+
+
+def _team_state(spark, d):
+    rows = base_fact(spark, d).groupBy("season", "period_num", "period_id", "team_id")
+    rows = rows.agg(F.sum("points").alias("points"), F.avg("price").alias("price"))
+    rows = checkpointed(rows.join(dim_period(spark, d).select("period_id", "date_start", "is_special"), "period_id"))
+    return _in_steps(fs.FeatureState(spark, shared_folder(spark, "team-state"), fs.TEAM), rows)
+
+
+@query("g3_entity_features_in_steps", ORACLE["g3_entity_features"])
+def _(spark, d):
+    return tidy(_entity_state(spark, d).features())
+
+
+@query("g4_team_features_in_steps", ORACLE["g4_team_features"])
+def _(spark, d):
+    return tidy(_team_state(spark, d).features())
+
+
+@query("g5_scoring_frame_entity_in_steps", ORACLE["g5_scoring_frame_entity"])
+def _(spark, d):
+    """From the latest rows of the state: no period is read again."""
+    target, latest = _target(spark, d), _entity_state(spark, d).latest()
+    prices = read_table(spark, d, "supplier").select(
+        target.select("season").scalar().alias("season"), F.lit(1).alias("period_num"), F.lower("s_name").alias("entity"), F.col("s_acctbal").alias("price")
+    )
+    return tidy(fe.scoring_frame_entity(target, prices, dim_entity(spark, d), latest, latest))
+
+
+@query("g6_scoring_frame_team_in_steps", ORACLE["g6_scoring_frame_team"])
+def _(spark, d):
+    target = _target(spark, d)
+    season = target.select("season").scalar()
+    prices = read_table(spark, d, "nation").select(
+        season.alias("season"), F.lit(1).alias("period_num"), F.upper("n_name").alias("team"), F.col("n_regionkey").cast("double").alias("price")
+    )
+    return tidy(fe.scoring_frame_team(target, prices, dim_team(spark, d).withColumn("season", season), _team_state(spark, d).latest()))
+
+
 @query(
     "g20_price_dynamics",
     f"""WITH {FACT0}, two AS (SELECT * REPLACE (round(price + 1e-9, 2) AS price, round(points + 1e-9, 2) AS points) FROM fact0),
@@ -895,8 +964,8 @@ def _(spark, d):
     return tidy(oc.residual_bucket_stats(out))
 
 
-# Draws per score: fewer where every draw is a row of the result. The operator's default is 10,000.
-N_DRAWS, N_SIMS, SEED = 40, 100, 42
+# Draws per score: fewer where every draw is a row of the result. Summaries use the operator's default.
+N_DRAWS, N_SIMS, SEED = 40, 10_000, 42
 RES6 = f"""res6 AS (SELECT *, points - rp AS residual, CASE WHEN rp < 20 THEN '00_20' ELSE '20_plus' END AS prediction_bucket
   FROM (SELECT *, {rnd("predicted_points")} AS rp FROM pred WHERE predicted_points IS NOT NULL))"""
 def sims_sql(n_sims: int) -> str:
@@ -914,10 +983,14 @@ sims AS (SELECT a1.*, p.sampled_residual, predicted_points + p.sampled_residual
   JOIN pool p ON p.prediction_bucket = a1.prediction_bucket AND p.idx = (a * 2147483647 + b) % a1.size)"""
 
 
-def simulations(spark, d, n_sims=N_SIMS, **plan):
+def _drawn_from(spark, d):
+    """Scores and residuals of all predictions."""
     rows = checkpointed(_residual_rows(spark, d))
-    scores = rows.select("period_id", "entity_id", "team_id", "price", "predicted_points", "prediction_bucket")
-    return oc.bootstrap_outcomes(scores, rows, n_sims, SEED, **plan)
+    return rows.select(*oc.OUTCOME_KEYS), rows
+
+
+def simulations(spark, d, n_sims, **plan):
+    return oc.bootstrap_outcomes(*_drawn_from(spark, d), n_sims, SEED, **plan)
 
 
 @query(
@@ -937,32 +1010,43 @@ def _(spark, d):
     return tidy(simulations(spark, d, N_DRAWS, max_group_rows=0).select(*cols))
 
 
+def _draw_stats_sql(c: str, keys: str, source: str) -> str:
+    """All statistics from one sorted list per group, so that its values are held once."""
+    return f"""stats AS (SELECT {keys}, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std,
+  quantile_cont({c}, [{", ".join(map(str, _QS.values()))}]) AS qs FROM {source} GROUP BY {keys}),
+named AS (SELECT * EXCLUDE (qs, mean, std), mean AS mean_{c}, std AS std_{c}, {", ".join(f"qs[{k}] AS {n}" for k, n in enumerate(_QS, 1))} FROM stats)"""
+
+
+def _named_sql(c: str) -> str:
+    return "n, " + ", ".join(f"{rnd(x)} AS {x}" for x in (f"mean_{c}", f"std_{c}", *_QS))
+
+
+_OUTCOME = ", ".join(oc.OUTCOME_KEYS)
+
+
 @query(
     "g14_summarize_outcomes",
-    f"""WITH {FACT0}, {PRED}, {RES6}, {sims_sql(N_SIMS)} SELECT period_id, entity_id, team_id, price, predicted_points, prediction_bucket,
-{_stats_sql("simulated_points")}, {rnd("avg(simulated_points) / nullif(price, 0)")} AS mean_per_price,
-{rnd("quantile_cont(simulated_points, 0.9) / nullif(price, 0)")} AS p90_per_price,
-{rnd("quantile_cont(simulated_points, 0.9) - quantile_cont(simulated_points, 0.1)")} AS risk_range,
-{rnd("avg(simulated_points) - quantile_cont(simulated_points, 0.1)")} AS downside_gap
-FROM sims GROUP BY period_id, entity_id, team_id, price, predicted_points, prediction_bucket""",
+    f"""WITH {FACT0}, {PRED}, {RES6}, {sims_sql(N_SIMS)}, {_draw_stats_sql("simulated_points", _OUTCOME, "sims")}
+SELECT {_OUTCOME}, {_named_sql("simulated_points")}, {rnd("mean_simulated_points / nullif(price, 0)")} AS mean_per_price,
+{rnd("p90 / nullif(price, 0)")} AS p90_per_price, {rnd("p90 - p10")} AS risk_range, {rnd("mean_simulated_points - p10")} AS downside_gap FROM named""",
 )
 def _(spark, d):
-    return tidy(oc.summarize_outcomes(simulations(spark, d)))
+    return tidy(dw.outcome_summaries(*_drawn_from(spark, d), N_SIMS, SEED))
 
 
 @query(
     "g15_selection_outcomes",
     f"""WITH {FACT0}, {PRED}, {RES6}, {sims_sql(N_SIMS)},
 sel AS (SELECT 'team ' || team_id AS profile, period_id, entity_id FROM fact0),
-tot AS (SELECT profile, s.period_id, sim, sum(simulated_points) AS selection_points FROM sims s JOIN sel USING (period_id, entity_id) GROUP BY ALL)
-SELECT profile, period_id, {_stats_sql("selection_points")} FROM tot GROUP BY ALL""",
+tot AS (SELECT profile, s.period_id, sim, sum(simulated_points) AS selection_points FROM sims s JOIN sel USING (period_id, entity_id) GROUP BY ALL),
+{_draw_stats_sql("selection_points", "profile, period_id", "tot")}
+SELECT profile, period_id, {_named_sql("selection_points")} FROM named""",
 )
 def _(spark, d):
     members = base_fact(spark, d).select(
         F.concat(F.lit("team "), F.col("team_id").cast("string")).alias("profile"), "period_id", "entity_id"
     )
-    totals = oc.selection_outcomes(simulations(spark, d), members)
-    return tidy(oc.summarize_selections(totals))
+    return tidy(dw.selection_summaries(*_drawn_from(spark, d), members, n_sims=N_SIMS, seed=SEED))
 
 
 @query(

@@ -26,6 +26,7 @@ from leaguelens.operators import windows as wn
 from leaguelens.operators.common import number_rows
 from leaguelens.session import shared_folder
 from leaguelens.sources import tables as tb
+from leaguelens.sources.key_index import KeyIndex
 from leaguelens.sources.tables import read_table
 
 # ---------------------------------------------------------------- sources
@@ -38,12 +39,13 @@ def _(spark, d):
 
 @query("s7_append_new_only", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def _(spark, d):
-    """All orders after the pending ones are appended, twice, to a table of the others."""
+    """All orders after the pending ones are appended, twice, to a table of the others, by the index of its keys."""
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     path = shared_folder(spark, "append")
     orders.filter("o_orderstatus <> 'P'").write.parquet(path)
-    tb.append_new_only(orders, path, "o_orderkey")
-    tb.append_new_only(orders, path, "o_orderkey")
+    index = KeyIndex(path, orders.schema, "o_orderkey")
+    index.append(orders)
+    index.append(orders)
     return spark.read.schema(orders.schema).parquet(path)
 
 

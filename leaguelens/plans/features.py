@@ -14,7 +14,6 @@ from leaguelens.operators.common import Order, as_list
 from leaguelens.operators.joins import join_normalized
 from leaguelens.operators.reshape import sign_flags
 from leaguelens.operators.windows import (
-    change_and_pct,
     latest_per_key,
     rest_of_group_sum,
     vs_partner,
@@ -52,24 +51,28 @@ def _trailing(w, col: str, n: int) -> Column:
     return F.avg(col).over(w.rowsBetween(-n, -1))
 
 
-def entity_features(fact: DataFrame, order: Order = "period_id") -> DataFrame:
-    """Rolling and peer-relative features; every window stops before the row's own period."""
-    peers = ["season", "period_id", "team_id"]
-    rows = vs_partner(fact, peers, "seed_position", "__gap")
+def _entity_columns(w) -> dict[str, Column]:
+    prev = F.lag("price").over(w)
+    return {
+        "__change": F.col("price") - prev,
+        "__change_pct": F.try_divide(F.col("price") - prev, prev),
+        "__p5": _trailing(w, "points", 5),
+        "__p3": _trailing(w, "points", 3),
+        "__seed": _trailing(w, "seed_position", 5),
+        "__gap5": _trailing(w, "__gap", 5),
+    }
 
-    def cols(w):
-        prev = F.lag("price").over(w)
-        return {
-            "__change": F.col("price") - prev,
-            "__change_pct": F.try_divide(F.col("price") - prev, prev),
-            "__p5": _trailing(w, "points", 5),
-            "__p3": _trailing(w, "points", 3),
-            "__seed": _trailing(w, "seed_position", 5),
-            "__gap5": _trailing(w, "__gap", 5),
-        }
 
-    rows = windowed(rows, "entity_id", order, cols, max_group_rows=None)
-    rows = rest_of_group_sum(rows, peers, "__p5", "__rest")
+PEERS = ["season", "period_id", "team_id"]
+
+
+def _with_gap(fact: DataFrame) -> DataFrame:
+    return vs_partner(fact, PEERS, "seed_position", "__gap")
+
+
+def _entity_rows(rows: DataFrame) -> DataFrame:
+    """Features of rows whose windows are evaluated."""
+    rows = rest_of_group_sum(rows, PEERS, "__p5", "__rest")
     rows = sign_flags(rows, "__change", "price_increase", "price_decrease")
     fill = lambda c, v=0.0: F.coalesce(c, F.lit(v))
     feats = {
@@ -98,19 +101,21 @@ def entity_features(fact: DataFrame, order: Order = "period_id") -> DataFrame:
     )
 
 
-def team_features(fact: DataFrame, key: str = "team_name", order: Order = "period_id") -> DataFrame:
-    """Team features, NULL where history is missing.
+def entity_features(fact: DataFrame, order: Order = "period_id") -> DataFrame:
+    """Rolling and peer-relative features; every window stops before the row's own period."""
+    return _entity_rows(windowed(_with_gap(fact), "entity_id", order, _entity_columns, max_group_rows=None))
 
-    ``key`` is the name by default: team ids change with the season.
-    """
-    rows = change_and_pct(fact, key, order, "price", None)
-    rows = windowed(
-        rows,
-        key,
-        order,
-        lambda w: {f"points_last_{n}_avg": _trailing(w, "points", n) for n in (5, 3)},
-        max_group_rows=None,
-    )
+
+def _team_columns(w) -> dict[str, Column]:
+    prev = F.lag("price").over(w)
+    return {
+        "price_change": F.col("price") - prev,
+        "price_change_pct": F.try_divide(F.col("price") - prev, prev),
+        **{f"points_last_{n}_avg": _trailing(w, "points", n) for n in (5, 3)},
+    }
+
+
+def _team_rows(rows: DataFrame) -> DataFrame:
     rows = sign_flags(rows, "price_change", "price_increase", "price_decrease")
     rows = rows.withColumns(
         {
@@ -124,6 +129,14 @@ def team_features(fact: DataFrame, key: str = "team_name", order: Order = "perio
     return rows.select(*head, *TEAM_FEATURES)
 
 
+def team_features(fact: DataFrame, key: str = "team_name", order: Order = "period_id") -> DataFrame:
+    """Team features, NULL where history is missing.
+
+    ``key`` is the name by default: team ids change with the season.
+    """
+    return _team_rows(windowed(fact, key, order, _team_columns, max_group_rows=None))
+
+
 def scoring_frame_entity(
     target: DataFrame,
     prices: DataFrame,

@@ -110,18 +110,11 @@ def bootstrap_outcomes(
     )
 
 
-def summarize_outcomes(
-    sims: DataFrame,
-    keys: Sequence[str] = ("period_id", "entity_id", "team_id", "price", "predicted_points", "prediction_bucket"),
-) -> DataFrame:
-    """Outcome distribution per entity with value and risk measures.
+OUTCOME_KEYS = ("period_id", "entity_id", "team_id", "price", "predicted_points", "prediction_bucket")
 
-    A key has ``n_sims`` rows, so the exact quantiles fit a task, and an entity has one
-    row per period, so the other keys follow from the first two. Value per price is NULL
-    at price zero.
-    """
-    grain, rest = list(keys)[:2], list(keys)[2:]
-    out = dist_summary(sims, grain, "simulated_points", max_group_rows=None, carry=rest)
+
+def with_risk(out: DataFrame) -> DataFrame:
+    """Value and risk measures of summarised outcomes; value per price is NULL at price zero."""
     mean = F.col("mean_simulated_points")
     return out.withColumns(
         {
@@ -133,6 +126,16 @@ def summarize_outcomes(
     )
 
 
+def summarize_outcomes(sims: DataFrame, keys: Sequence[str] = OUTCOME_KEYS) -> DataFrame:
+    """Outcome distribution per entity with value and risk measures.
+
+    A key has ``n_sims`` rows, so the exact quantiles fit a task, and an entity has one
+    row per period, so the other keys follow from the first two.
+    """
+    grain, rest = list(keys)[:2], list(keys)[2:]
+    return with_risk(dist_summary(sims, grain, "simulated_points", max_group_rows=None, carry=rest))
+
+
 def selection_outcomes(sims: DataFrame, selection: DataFrame, profile: Order = ("profile", "period_id")):
     """A selection's points per simulation: the sum over its entities."""
     profile = as_list(profile)

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from leaguelens.operators.common import Order, as_list
-from leaguelens.sources.tables import new_rows, read_or_empty
+from leaguelens.operators.common import Order
+from leaguelens.sources.key_index import KeyIndex
 
 
 def stream_append_new(stream: DataFrame, target: str, keys: Order, checkpoint: str) -> StreamingQuery:
     """Append the rows of a stream whose key the target lacks.
 
-    Each batch is matched against what the target holds, so a batch that is
-    replayed after a failure adds nothing twice.
+    Each batch is matched against the index of the target's keys, so a batch that is
+    replayed after a failure adds nothing twice and no batch reads the target's rows.
     """
-    keys, schema = as_list(keys), stream.schema
+    index = KeyIndex(target, stream.schema, keys)
 
     def append(batch: DataFrame, _: int) -> None:
-        held = read_or_empty(batch.sparkSession, target, schema)
-        new_rows(batch, held, keys).write.mode("append").parquet(target)
+        index.append(batch)
 
     return (
         stream.writeStream.foreachBatch(append)
