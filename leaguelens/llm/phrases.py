@@ -4,7 +4,7 @@ Words are named by 64-bit hashes that are checked to be free of collisions. Cand
 screened level by level: only pairs of frequent words, and triples of two frequent pairs, are
 looked at, each filter a bitmap of fixed size that may let too much through but never too little.
 The candidates are cut into tries of at most ``TRIE_PHRASES`` phrases. Each trie is broadcast in
-turn; numpy moves the states of all text positions on together, one word a level, and counts the
+turn; numpy moves the states of all text positions on together, level by level, and counts the
 accepting states they reach. Counts of all parts of the text are then summed.
 """
 
@@ -248,73 +248,75 @@ def candidates(texts: DataFrame, words: DataFrame, salt: int, least: int) -> Dat
 
 
 class Trie:
-    """A double-array trie over word numbers: from state s, word w leads to base[s] + w if check[...] is s.
+    """A double-array trie over the bytes of word numbers: from state s, byte c leads to t = base[s] + c if check[t] is s.
 
-    Words are numbered by their sorted hashes from 0. State 0 is the root; a missing child fails the check.
+    Words are numbered by their sorted hashes from 0; a number has ``width`` bytes. State 0 is the root.
     """
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, h3: np.ndarray):
         self.words = np.unique(np.concatenate([h1, h2, h3[h3 != 0]]))
-        a, b, c = (np.searchsorted(self.words, h).astype(np.int64) for h in (h1, h2, h3))
-        v = len(self.words)
-        self.size = 2 * v + 2
-        self.base, self.check = np.zeros(self.size, np.int64), np.full(self.size, -1, np.int64)
-        self.free = 1
-        first, second = np.unique(a), np.unique(a * v + b)
-        deep = h3 != 0
-        one = self._place(np.zeros(len(first), np.int64), first)
-        two = self._place(one[np.searchsorted(first, second // v)], second % v)
-        before = two[np.searchsorted(second, a * v + b)]
-        self.state = before.copy()
-        # distinct triples, in the order of their pairs
-        order = np.lexsort((c[deep], before[deep]))
-        state = np.empty(len(order), np.int64)
-        state[order] = self._place(before[deep][order], c[deep][order])
-        self.state[deep] = state
-        used = int(np.flatnonzero(self.check >= 0).max(initial=0)) + 1
-        self.base, self.check = self.base[:used].astype(np.int32), self.check[:used].astype(np.int32)
-
-    def _grow(self, size: int):
-        if size > self.size:
-            more = max(size, self.size + self.size // 2) - self.size
+        self.width = max(1, -(-max(0, len(self.words) - 1).bit_length() // 8))
+        numbers = [np.searchsorted(self.words, h).astype(np.int64) for h in (h1, h2, h3)]
+        self.base, self.check = np.zeros(1024, np.int64), np.full(1024, -1, np.int64)
+        self.check[0] = 0
+        self.end = self.hint = 1  # places from ``end`` on are free
+        self.size = 256  # of the families that look for room from ``hint``
+        self.state = np.zeros(len(h1), np.int64)
+        for level in range(3 * self.width):
+            word, byte = divmod(level, self.width)
+            live = np.flatnonzero(h3 != 0) if word == 2 else np.arange(len(h1))
+            step = (numbers[word][live] >> (8 * (self.width - 1 - byte))) & 255
+            nodes, which = np.unique(self.state[live] * 256 + step, return_inverse=True)
+            self.state[live] = self._place(nodes >> 8, nodes & 255)[which]
+        self.base, self.check = self.base[: self.end].astype(np.int32), self.check[: self.end].astype(np.int32)
+
+    def _reserve(self, size: int):
+        if size > len(self.check):
+            more = max(size, 2 * len(self.check)) - len(self.check)
             self.base = np.r_[self.base, np.zeros(more, np.int64)]
             self.check = np.r_[self.check, np.full(more, -1, np.int64)]
-            self.size += more
-
-    def _place(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Give every (parent, word), grouped by parent, a place, and return these."""
-        places = np.empty(len(words), np.int64)
-        if not len(words):
-            return places
-        start = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]])
-        end = np.r_[start[1:], len(words)]
-        for k in np.argsort(start - end, kind="stable").tolist():  # large families first, while there is room
-            s, e = start[k], end[k]
-            kids = words[s:e]
-            low = int(kids[0])
-            base = self._base_for(kids - low) - low
-            self.base[parents[s]] = base
-            at = base + kids
-            self.check[at] = parents[s]
-            places[s:e] = at
+
+    def _place(self, parents: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Places for (parent, step), sorted; families first, then only children into the gaps left."""
+        places = np.empty(len(steps), np.int64)
+        start = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]]) if len(parents) else np.empty(0, np.int64)
+        count = np.diff(np.r_[start, len(parents)])
+        many = np.flatnonzero(count > 1)
+        self.size, self.hint = 256, 1
+        for k in many[np.argsort(-count[many], kind="stable")].tolist():
+            s, e = start[k], start[k] + count[k]
+            offsets = steps[s:e] - steps[s]
+            at = self._room(offsets)
+            places[s:e] = at + offsets
+            self.check[places[s:e]] = parents[s]
+            self.base[parents[s]] = at - steps[s]
+            self.end = max(self.end, at + int(offsets[-1]) + 1)
+        single = start[count == 1]
+        gaps = np.flatnonzero(self.check[: self.end] < 0)[: len(single)]
+        self._reserve(self.end + len(single) + 512)
+        at = np.r_[gaps, self.end + np.arange(len(single) - len(gaps))]
+        places[single] = at
+        self.check[at] = parents[single]
+        self.base[parents[single]] = at - steps[single]
+        self.end = max(self.end, int(at.max(initial=0)) + 1)
         return places
 
-    def _base_for(self, offsets: np.ndarray) -> int:
-        """The first free place from which all offsets are free; places before ``free`` are taken or given up."""
-        reach, tries, at = int(offsets[-1]) + 2, 0, self.free
-        while True:
-            self._grow(at + reach + 1)
-            if self.check[at] < 0:
-                if len(offsets) == 1 or (self.check[at + offsets] < 0).all():
-                    if len(offsets) == 1:
-                        self.free = at + 1
-                    return at
-                tries += 1
-                if tries > 64:  # crowded: what lies before is not tried again
-                    self.free = at = at + 1
-                    tries = 0
-                    continue
-            at += 1
+    def _room(self, offsets: np.ndarray) -> int:
+        """A place from which all offsets are free: among the gaps, else behind all places."""
+        self._reserve(self.end + 1024)
+        if 2 * len(offsets) <= self.size:  # smaller families find room where larger ones did not
+            self.size, self.hint = len(offsets), 1
+        for _ in range(8):
+            gaps = np.flatnonzero(self.check[self.hint : self.hint + 1024] < 0) + self.hint
+            gaps = gaps[gaps < self.end][:256]
+            if len(gaps):
+                free = (self.check[gaps[:, None] + offsets] < 0).all(axis=1)
+                if free.any():
+                    return int(gaps[np.argmax(free)])
+            if self.hint + 1024 >= self.end:
+                break
+            self.hint += 1024  # crowded: left to smaller ones
+        return self.end
 
     def pack(self) -> dict:
         return {"words": self.words.tobytes(), "base": self.base.tobytes(), "check": self.check.tobytes()}
@@ -349,21 +351,21 @@ def _walk(sent, salt: int):
             at = int(np.searchsorted(words, np.uint64(h)))
             return at + 1 if at < len(words) and int(words[at]) == h else 0
 
-        def step(state, word):
-            """The places that states lead to by words, and whether they are children."""
-            to = base[state].astype(np.int64) + word.astype(np.int64) - 1
-            good = (word != 0) & (to >= 0) & (to < len(check))
-            good[good] = check[to[good]] == state[good]
-            return to[good], good
-
+        width = max(1, -(-max(0, len(words) - 1).bit_length() // 8))
         for codes, seen in streams(batches, code, salt):
+            numbers = codes.astype(np.int64) - 1
             at = np.flatnonzero(codes)
             state = np.zeros(len(at), np.int64)
             for level in range(3):
                 inside = at + level < len(codes)
                 at, state = at[inside], state[inside]
-                state, good = step(state, codes[at + level])
-                at = at[good]
+                inside = codes[at + level] != 0
+                at, state = at[inside], state[inside]
+                for byte in range(width):
+                    to = base[state] + ((numbers[at + level] >> (8 * (width - 1 - byte))) & 255)
+                    good = (to > 0) & (to < len(check))
+                    good[good] = check[to[good]] == state[good]
+                    at, state = at[good], to[good]
                 if level:
                     new = state[at + level >= seen]  # those that end before were counted with the last array
                     counts += np.bincount(new, minlength=len(counts))

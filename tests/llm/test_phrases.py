@@ -84,9 +84,10 @@ def test_trie_holds_what_was_put_in():
     for a, b, c, state in zip(*h, trie.state, strict=True):
         at = 0
         for w in (a, b, c)[: 3 if c else 2]:
-            to = int(trie.base[at]) + number[int(w)]
-            assert trie.check[to] == at
-            at = to
+            for byte in number[int(w)].to_bytes(trie.width, "big"):
+                to = int(trie.base[at]) + byte
+                assert trie.check[to] == at
+                at = to
         assert at == state
 
 
