@@ -1,11 +1,16 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Each distinct text has ``BANDS`` keys, each a hash of ``ROWS`` MinHash values of its
-shingles. Texts that share a key are candidates, and candidates are linked only by an
-exact comparison of their shingles. Two texts at similarity s share no key with
-probability (1 - s^4)^24: 3e-6 at 0.8, less above. Candidates already in one group
-need no comparison: a crowd is first joined by its centres, so that only pairs of
-different groups are left to compare.
+Candidates come from the SimHash trie join over five-word shingles and, since three bits
+find only about half of the pairs at 0.8, from ``BANDS`` keys, each a hash of ``ROWS``
+MinHash values. Texts that share a key are candidates, and candidates are linked only by
+an exact comparison of their shingles. Two texts at similarity s share no key with
+probability (1 - s^4)^24: 3e-6 at 0.8, less above.
+
+A group is first joined by stars: every text is compared with the least of its fingerprint
+and of its keys. What is left are keys that hold several groups. There, blocks of texts are
+compared inside tasks, first by their MinHash values, which rule out what is surely less
+alike, then exactly; the texts of a crowd bring their shingles once per pair of blocks.
+Tasks give stars, so no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import components, in_batches, one_row_each, text_digest
+from leaguelens.llm import simhash
+from leaguelens.llm.common import components, in_batches, local_stars, one_row_each, text_digest
 from leaguelens.session import checkpointed
 
 WORDS = 5
@@ -27,6 +33,11 @@ BANDS = 24
 ROWS = 4
 CENTRE_BANDS = (4, BANDS)
 SHINGLES_AT_ONCE = 4096
+BLOCK_ROWS = 512  # texts of a crowd that are compared with as many others at once
+BLOCK_SHINGLES = 1 << 19
+# the share of equal MinHash values of a pair at 0.8 is hardly ever 4.5 standard deviations less
+LIKELY = 0.8 - 4.5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
+CHUNK_ROWS = 20_000
 
 _random = np.random.default_rng(5)
 FACTORS = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -52,17 +63,31 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(starts)))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The keys of a set of shingles; all empty sets have the same."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set of shingles; all empty sets have the same."""
     low = hashes.astype(np.uint32)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(low), SHINGLES_AT_ONCE):
         mixed = low[at : at + SHINGLES_AT_ONCE, None] * FACTORS + TERMS
         np.minimum(least, mixed.min(axis=0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """The keys of the MinHash values of a set."""
     keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of shingles have the similarity of near copies; two empty ones are alike."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -75,17 +100,21 @@ def _texts(batch: pa.RecordBatch):
 
 
 def _with_bands(texts: DataFrame) -> DataFrame:
-    """(id, n, keys) of (id, text): the number of distinct shingles and the keys of the bands."""
+    """(id, n, fp, keys, sig) of (id, text): distinct shingles, SimHash, keys of the bands, low bits of the MinHash values."""
 
     def make():
         def step(batch):
             sets = [shingles(t) for t in _texts(batch)]
-            sizes, keys = pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), sizes, keys], names=["id", "n", "keys"])
+            least = [minima(x) for x in sets]
+            columns = [
+                batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()),
+                pa.array(map(bands, least), pa.list_(pa.int64())), pa.array([x.astype(np.uint16).tobytes() for x in least], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "n", "fp", "keys", "sig"])
 
         return step
 
-    return in_batches(texts, make, "id binary, n long, keys array<long>")
+    return in_batches(texts, make, "id binary, n long, fp long, keys array<long>, sig binary")
 
 
 def _with_shingles(texts: DataFrame) -> DataFrame:
@@ -128,14 +157,151 @@ def _to_centres(rows: DataFrame, upto: int) -> DataFrame:
     return apart.select(F.col("c.id").alias("u"), F.col("id").alias("v")).distinct()
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """All pairs of texts of one key that are in different groups."""
-    groups = rows.select("key", "label").distinct()
-    two = groups.select("key", F.col("label").alias("la")).join(groups.select("key", F.col("label").alias("lb")), "key").where("la < lb")
-    left = rows.select("key", F.col("label").alias("la"), F.col("id").alias("x"), F.col("n").alias("nx"))
-    right = rows.select("key", F.col("label").alias("lb"), F.col("id").alias("y"), F.col("n").alias("ny"))
-    pairs = checkpointed(two).join(left, ["key", "la"]).join(right, ["key", "lb"]).where(_sizes_allow("nx", "ny"))
-    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+def _by_fingerprint(marked: DataFrame) -> DataFrame:
+    """Pairs of each text with the least of its fingerprint, and of the least texts of fingerprints that the trie join links."""
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("first")))
+    same = marked.join(classes, "fp").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    near = simhash.links(classes.select("fp", F.col("fp").alias("id")))
+    left, right = (classes.select(F.col("fp").alias(c), F.col("first").alias(f"t{c}")) for c in ("u", "v"))
+    near = near.join(left, "u").join(right, "v").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v"))
+    return same.unionByName(near).distinct()
+
+
+def _block_pairs(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks of its group that its own is in: bi, bj, side.
+
+    ``sizes`` has the number of blocks of each group: (group, nb).
+    """
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("nb")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))
+    dealt = rows.join(sizes, group).withColumn("own", own).withColumn("other", other)
+    return dealt.select(
+        *rows.columns, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side")
+    )
+
+
+def _grouped(rows: DataFrame, group: str, compare) -> DataFrame:
+    """Stars (u, v) that ``compare`` finds in each pair of blocks: (side, id, label, n, sig, held) to places i, j."""
+
+    def part(table: pa.Table):
+        names = table.column(0).to_numpy(zero_copy_only=False) if table.schema[0].type != pa.binary() else np.array(table.column(0).to_pylist(), object)
+        bi, bj, side = (table.column(c).to_numpy() for c in ("bi", "bj", "side"))
+        ids = table.column("id").to_pylist()
+        known = {x: k for k, x in enumerate(sorted(set(table.column("label").to_pylist())))}
+        label = np.array([known[x] for x in table.column("label").to_pylist()])
+        n = table.column("n").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        held = table.column("held") if "held" in table.column_names else None
+        new = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+        us, vs = [], []
+        for low, high in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True):
+            turn = low + int((side[low:high] == 0).sum())
+            left, right = np.arange(low, turn), np.arange(low if bi[low] == bj[low] else turn, high)
+            if not len(left) or not len(right) or (label[low:high] == label[low]).all():
+                continue
+            i, j = compare(left, right, label, n, sig, held)
+            if len(i):
+                star = local_stars(high - low, i - low, j - low)
+                least = {}
+                for k in range(high - low):
+                    c = int(star[k])
+                    least[c] = min(least.get(c, ids[low + k]), ids[low + k])
+                for k in range(high - low):
+                    centre = least[int(star[k])]
+                    if centre != ids[low + k]:
+                        us.append(centre)
+                        vs.append(ids[low + k])
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+
+    def run(batches):
+        kept, size = [], 0
+        for batch in batches:
+            kept.append(batch)
+            size += batch.num_rows
+            if size < CHUNK_ROWS and sum(b.nbytes for b in kept) < 64 << 20:
+                continue
+            table = pa.Table.from_batches(kept).combine_chunks()
+            last = table.select([0, table.column_names.index("bi"), table.column_names.index("bj")]).slice(size - 1).to_pylist()[0]
+            same = np.ones(size, bool)
+            for c, value in last.items():
+                same &= np.array([x == value for x in table.column(c).to_pylist()])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield part(table.slice(0, cut))
+            kept, size = table.slice(cut).to_batches(), size - cut
+        if size:
+            yield part(pa.Table.from_batches(kept).combine_chunks())
+
+    order = [group, "bi", "bj"]
+    columns = [group, "bi", "bj", "side", *[c for c in rows.columns if c not in (group, "bi", "bj", "side")]]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*columns).repartition(parts, *order).sortWithinPartitions(*order, "side")
+    return dealt.mapInArrow(run, "u binary, v binary")
+
+
+def _likely(left, right, label, n, sig, held=None):
+    """Places of pairs in different groups whose sizes and MinHash values allow a near copy."""
+    part, whole = SIMILAR
+    out_i, out_j = [], []
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        a, b = n[x][:, None], n[right][None, :]
+        good = (label[x][:, None] != label[right][None, :]) & (np.minimum(a, b) * whole >= np.maximum(a, b) * part)
+        i, j = np.nonzero(good)
+        for start in range(0, len(i), 1 << 17):
+            p, q = x[i[start : start + (1 << 17)]], right[j[start : start + (1 << 17)]]
+            near = (sig[p] == sig[q]).mean(axis=1) >= LIKELY
+            out_i.append(p[near])
+            out_j.append(q[near])
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_i, out_j))
+    return i, j
+
+
+def _exactly(left, right, label, n, sig, held):
+    """Of the likely pairs those whose shingles are similar."""
+    i, j = _likely(left, right, label, n, sig)
+    if not len(i):
+        return i, j
+    rows = np.unique(np.r_[left, right])
+    sets = [np.frombuffer(x, np.uint64) for x in held.take(pa.array(rows)).to_pylist()]
+    size = np.array([len(x) for x in sets])
+    place = np.repeat(np.arange(len(rows)), size)
+    shingle, which = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    owner = place[order]  # the texts of each shingle, one list after the other
+    start = np.r_[0, np.cumsum(np.bincount(which, minlength=len(shingle)))]
+    first = np.r_[0, np.cumsum(size)]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    near = np.zeros(len(i), bool)
+    part, whole = SIMILAR
+    cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)], strict=True):
+        k = int(np.searchsorted(rows, i[low]))
+        mine = which[first[k] : first[k + 1]]
+        counts = start[mine + 1] - start[mine]
+        lists = np.repeat(start[mine] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum())) if len(mine) else np.empty(0, np.int64)
+        common = np.bincount(owner[lists], minlength=len(rows))
+        other = np.searchsorted(rows, j[low:high])
+        both = common[other]
+        near[low:high] = both * whole >= (size[k] + size[other] - both) * part
+    return i[near], j[near]
+
+
+def _across(rows: DataFrame, about: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stars of the links between texts that share a key but are in different groups yet: rows of (key, id, label)."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    sizes = mixed.select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb"))
+    open_rows = rows.join(about, "id").select("key", "id", "label", "n", "sig")
+    likely = checkpointed(_grouped(_block_pairs(open_rows, "key", sizes), "key", _likely))
+    if likely.isEmpty():
+        return likely
+    crowd = components(likely, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+    texts = crowd.join(rows.select("id", "label").distinct(), "id").join(about, "id")
+    texts = checkpointed(texts.select("crowd", "id", "label", "n", "sig"))
+    sizes = texts.groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
+    held = texts.join(sets, "id").select("crowd", "id", "label", "n", "sig", "held")
+    return checkpointed(_grouped(_block_pairs(held, "crowd", sizes), "crowd", _exactly))
 
 
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -144,29 +310,33 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     Groups are connected by links; a null text counts as empty.
     """
     texts = docs.select(text_digest(F.col(text)).alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
-    marked = _with_bands(texts).groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = checkpointed(marked).select("id", "n", F.posexplode("keys").alias("band", "key"))
+    marked = _with_bands(texts).groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "sig")])
+    marked = checkpointed(marked)
+    rows = marked.select("id", "n", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     rows = checkpointed(rows.join(shared, "key", "left_semi"))
-    wanted = rows.select("id").distinct()
+    start = checkpointed(_by_fingerprint(marked))
+    wanted = rows.select("id").union(start.select("u")).union(start.select("v")).distinct()
     once = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = checkpointed(_with_shingles(once))
+    about = marked.select("id", "n", "sig")
     found, tried, joined = [], [], None
-    for upto in (*CENTRE_BANDS, None):
+    for pairs in (start, *CENTRE_BANDS, None):
         labelled = rows.withColumn("label", F.col("id"))
         if joined is not None:
             labelled = rows.join(joined, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-        pairs = _across(labelled) if upto is None else _to_centres(labelled, upto)
-        if tried:
-            pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
-        pairs = checkpointed(pairs)
-        tried.append(pairs)
-        new = checkpointed(_alike(pairs, sets))
+        if pairs is None:
+            new = _across(checkpointed(labelled.select("key", "id", "label")), about, sets)
+        else:
+            if pairs is not start:
+                pairs = _to_centres(labelled, pairs)
+                pairs = checkpointed(pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti"))
+            tried.append(pairs)
+            new = checkpointed(_alike(pairs, sets))
         if new.isEmpty():
             continue
         found.append(new)
-        links = reduce(DataFrame.union, found)
-        joined = components(links, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("root"))
+        joined = components(reduce(DataFrame.union, found), "u", "v").select(F.col("node").alias("id"), F.col("component").alias("root"))
     return joined if joined is not None else rows.select("id", F.col("id").alias("root")).limit(0)
 
 
