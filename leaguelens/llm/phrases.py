@@ -30,6 +30,7 @@ TRIE_PHRASES = 4_000_000
 BITS = 27  # of a filter: 16 MB
 HELD_WORDS = 500_000  # distinct words that a task holds at once
 STREAM = 1 << 21  # positions of a stream that are treated together
+BLOCK = 1 << 16  # counts that are summed together
 SLICE = 1 << 20  # bytes of a text that are split at once
 BREAK = b";"
 _TO_BREAK = bytes.maketrans(b".,:!?\n\x0b\x0c\r", BREAK * 9)
@@ -369,14 +370,35 @@ def _walk(sent, salt: int):
                 if level:
                     new = state[at + level >= seen]  # those that end before were counted with the last array
                     counts += np.bincount(new, minlength=len(counts))
-        hit = np.flatnonzero(counts)
-        for start in range(0, len(hit), 1 << 16):
-            part = hit[start : start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["state", "f"])
+        for start in range(0, len(counts), BLOCK):
+            part = counts[start : start + BLOCK]
+            if part.any():
+                packed = part.astype(np.uint32 if part.max() < 1 << 32 else np.int64).tobytes()
+                columns = [pa.array([start], pa.int64()), pa.array([len(part)], pa.int32()), pa.array([packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "size", "counts"])
 
     return run
 
 
+def _sums(batches):
+    """(state, f) of the counts of all parts of the text, which come sorted by block; one block is held at a time."""
+    current, total = None, None
+    for batch in batches:
+        for block, size, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if block != current:
+                if total is not None:
+                    yield from _found(current, total)
+                current, total = block, np.zeros(size, np.int64)
+            total += np.frombuffer(packed, np.uint32 if len(packed) == 4 * size else np.int64)
+    if total is not None:
+        yield from _found(current, total)
+
+
+def _found(block: int, total: np.ndarray):
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(block + at, pa.int64()), pa.array(total[at])], names=["state", "f"])
+
+
 def count_phrases(texts: DataFrame, phrases: DataFrame, salt: int, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
     """(h1, h2, h3, f): the occurrences of every candidate, counted by tries, one at a time."""
     total = phrases.count()
@@ -391,7 +413,8 @@ def count_phrases(texts: DataFrame, phrases: DataFrame, salt: int, trie_phrases:
         if packed is None:
             continue
         sent = send(texts.sparkSession, {k: bytes(v) for k, v in packed.asDict().items()})
-        counts = texts.mapInArrow(_walk(sent, salt), "state long, f long").groupBy("state").agg(F.sum("f").alias("f"))
+        parts = texts.mapInArrow(_walk(sent, salt), "block long, size int, counts binary")
+        counts = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_sums, "state long, f long")
         counts = checkpointed(counts)
         sent.unpersist()
         counts = counts.join(states.where(F.col("trie") == number), "state").select("h1", "h2", "h3", "f")

@@ -46,6 +46,7 @@ ROWS = [
 @pytest.mark.parametrize("top", [2000, 4])
 def test_against_brute_force(spark, monkeypatch, trie_phrases, top):
     monkeypatch.setattr(phrases, "SLICE", 50)
+    monkeypatch.setattr(phrases, "BLOCK", 7)
     rows = phrases.collocations(documents(spark, ROWS), least=10, top=top, trie_phrases=trie_phrases).collect()
     assert sorted(map(tuple, rows)) == _brute(ROWS, 10, top)
 
