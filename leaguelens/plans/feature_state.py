@@ -9,7 +9,7 @@ counts once its marker is there; a step that failed is written over by the next
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,10 +33,13 @@ class Kind:
     finish: Callable[[DataFrame], DataFrame]  # the features of rows with windows
     halo: list[str]  # what windows look at
     carry: list[str]  # kept of the latest row beside its features
+    latest: str = ""  # what the latest rows are kept by, if not by the key
 
 
 ENTITY = Kind("entity_id", fe._with_gap, fe._entity_columns, fe._entity_rows, ["price", "points", "seed_position", "__gap"], ["rating_after"])
 TEAM = Kind("team_id", lambda df: df, fe._team_columns, fe._team_rows, ["price", "points"], [])
+# ids change with the season, names do not
+TEAM_BY_NAME = replace(TEAM, key="team_name", latest="team_id")
 
 
 class FeatureState:
@@ -98,7 +101,7 @@ class FeatureState:
             latest = features.join(carried, same, "left").select(features["*"], *[carried[c] for c in kind.carry])
         if done:
             latest = latest.unionByName(self._read("latest", step - 1, latest.schema))
-        overwrite_table(best_row(latest, kind.key, f"-{self.order}"), f"{self.home}/latest/at_{step}")
+        overwrite_table(best_row(latest, kind.latest or kind.key, f"-{self.order}"), f"{self.home}/latest/at_{step}")
         upto = self.spark.createDataFrame([(step, span["high"])], f"step int, upto {arrivals.schema[self.order].dataType.simpleString()}")
         upto.coalesce(1).write.mode("append").parquet(f"{self.home}/done")
         return features

@@ -1,11 +1,14 @@
 """Key index, feature state: what is kept up to date equals what is built at once and reads no history."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaguelens.plans import feature_state as fs
 from leaguelens.plans import features as fe
+from leaguelens.plans.increment import Store
 from leaguelens.sources.key_index import KeyIndex
 
 SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("name", T.StringType()), T.StructField("v", T.LongType())])
@@ -127,3 +130,79 @@ def test_scoring_frames_from_the_state(spark, tmp_path):
     frames = fs.scoring_frames(entity, team, target, prices, dim, team_prices, dim_team)
     assert _same(fe.scoring_frame_entity(target, prices, dim, fe.entity_features(fact), fact), frames[0])
     assert _same(fe.scoring_frame_team(target, team_prices, dim_team, fe.team_features(teams, "team_id")), frames[1])
+
+
+# ---- deliveries
+
+
+def _raw(spark):
+    """Raw rows of five entities in two teams over two seasons, under names and dates only."""
+    grain, points, prices, placed, seeds, meetings = ["season", "period_num"], [], [], [], [], []
+    for k in range(7):
+        season, num = (2020, k + 1) if k < 4 else (2021, k - 3)
+        meetings.append((season, f"Round {num}", datetime.datetime(season, num, 1), k % 3 == 0))
+        for e in range(5):
+            if (e + k) % 6 == 0:
+                continue  # not everybody is there
+            name, team = f"e{e}", f"t{e % 2}"
+            points.append((season, num, name, float((e * 7 + k * 3) % 11)))
+            prices.append((season, num, name, float(5 + (e + k) % 4)))
+            if (e * k) % 5 != 1:  # some have points without a result
+                placed.append((season, num, name, team, float((e * 3 + k) % 5 + 1), "Finished", 0, 0, 0, 0))
+            seeds.append((season, num, name, (e * 2 + k) % 5 + 1, 1))
+    named = spark.createDataFrame
+    points = named(points, "season int, period_num int, entity string, points double")
+    prices = named(prices, "season int, period_num int, entity string, price double")
+    placed = named(placed, "season int, period_num int, entity string, team string, finish_position double, status string, dns int, dnf int, dsq int, nc int")
+    of = placed.select("entity", "team").distinct()
+    return {
+        "meetings": named(meetings, "season int, period_name string, date_start timestamp_ntz, is_special boolean"),
+        "entity_points": points,
+        "entity_prices": prices,
+        "team_points": points.join(of, "entity").groupBy(*grain, "team").agg(F.sum("points").alias("points")),
+        "team_prices": prices.join(of, "entity").groupBy(*grain, "team").agg(F.avg("price").alias("price")),
+        "placements": placed,
+        "seeds": named(seeds, "season int, period_num int, entity string, seed_position int, seed_laps int"),
+    }
+
+
+def _between(raw, low, high):
+    out = {}
+    for name, df in raw.items():
+        time = F.year("date_start") * 100 + F.month("date_start") if name == "meetings" else F.col("season") * 100 + F.col("period_num")
+        out[name] = df.where((time > low) & (time <= high))
+    return out
+
+
+def _rounded(df, columns):
+    cols = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.select(columns).dtypes]
+    return sorted(map(repr, df.select(*cols).collect()))
+
+
+def test_deliveries_equal_one_build(spark, tmp_path):
+    """Three deliveries, the second with an entity unheard of before, equal one; repeats change nothing."""
+    raw = _raw(spark)
+    one, many = Store(spark, f"{tmp_path}/one"), Store(spark, f"{tmp_path}/many")
+    named = {"entity_points", "entity_prices", "placements", "seeds"}
+    first = {k: v.where("entity <> 'e0'") if k in named else v for k, v in _between(raw, 0, 202003).items()}
+    rest = _between(raw, 202003, 202199)
+    assert one.deliver({k: v.unionByName(rest[k]) for k, v in first.items()}) == 0
+    assert many.deliver(first) == 0
+    assert many.deliver(first) == 0 and many.steps() == [0]
+    assert many.deliver(_between(raw, 202003, 202101)) == 1
+    overlapping = {k: v.where("season = 2021") if k in named else v for k, v in _between(raw, 202004, 202199).items()}
+    assert many.deliver(overlapping) == 2 and many.steps() == [0, 1, 2]
+    ids = dict(map(tuple, many.dim("entity").select("entity_name", "entity_id").collect()))
+    assert ids == {"e1": 1, "e2": 2, "e3": 3, "e4": 4, "e0": 5}  # ids go on from the highest
+    assert sorted(map(repr, many.dim("period").collect())) == sorted(map(repr, one.dim("period").collect()))
+    facts = ["season", "period_num", "entity_name", "team_name", "price", "points", "rating_before", "rating_after", "seed_position"]
+    assert _rounded(one.built("entity_fact"), facts) == _rounded(many.built("entity_fact"), facts)
+    teams = ["season", "period_num", "team_name", "price", "points"]
+    assert _rounded(one.built("team_fact"), teams) == _rounded(many.built("team_fact"), teams)
+    features = ["season", "date_start", "price", "points", *fe.ENTITY_FEATURES]
+    assert _rounded(one.entities.features(), features) == _rounded(many.entities.features(), features)
+    features = ["season", "date_start", "price", "points", *fe.TEAM_FEATURES]
+    assert _rounded(one.teams.features(), features) == _rounded(many.teams.features(), features)
+    late = raw["entity_points"].where("season = 2021 and period_num = 1").limit(1).withColumn("entity", F.lit("new"))
+    with pytest.raises(ValueError, match="built already"):
+        many.deliver({"entity_points": late})
