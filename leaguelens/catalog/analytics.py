@@ -25,6 +25,7 @@ from leaguelens.plans import draws as dw
 from leaguelens.plans import facts as fa
 from leaguelens.plans import feature_state as fs
 from leaguelens.plans import features as fe
+from leaguelens.plans import increment as inc
 from leaguelens.plans import outcomes as oc
 from leaguelens.plans import rating as rt
 from leaguelens.plans import staging as sg
@@ -591,6 +592,25 @@ def _(spark, d):
     return tidy(fa.build_team_fact(points, prices, dim_period(spark, d), teams))
 
 
+@query(
+    "g2_team_fact_by_deliveries",
+    f"""WITH {FACT0}, {DIMS} SELECT season, period_num, team_name, {rnd("avg(price)")} AS price, {rnd("sum(points)")} AS points
+FROM fact0 JOIN dim_team USING (team_id) GROUP BY ALL""",
+)
+def _(spark, d):
+    """Raw team rows taken in by three deliveries, the last one a repeat: names and dates in, ids continued."""
+    rows = base_fact(spark, d).join(dim_team(spark, d), "team_id").groupBy("season", "period_num", F.col("team_name").alias("team"))
+    rows = checkpointed(rows.agg(F.sum("points").alias("points"), F.avg("price").alias("price")))
+    meetings = checkpointed(dim_period(spark, d).select("season", "period_name", "date_start", "is_special"))
+    cut = rows.agg(F.max("season")).first()[0]
+    store = inc.Store(spark, shared_folder(spark, "store"))
+    for part in (f"season < {cut}", f"season = {cut}", f"season = {cut}"):
+        some = rows.where(part)
+        prices, points = some.select("season", "period_num", "team", "price"), some.select("season", "period_num", "team", "points")
+        store.deliver({"meetings": meetings.where(part), "team_points": points, "team_prices": prices})
+    return tidy(store.built("team_fact").select("season", "period_num", "team_name", "price", "points"))
+
+
 # ---------------------------------------------------------------- features
 
 _E = "PARTITION BY entity_id ORDER BY period_id"
