@@ -7,7 +7,7 @@ an exact comparison of their shingles. Two texts at similarity s share no key wi
 probability (1 - s^4)^24: 3e-6 at 0.8, less above.
 
 A group is first joined by stars: every text is compared with the least of its fingerprint
-and of its keys. What is left are keys that hold several groups. There, blocks of texts are
+and of some of its keys. What is left are keys that hold several groups. There, blocks of texts are
 compared inside tasks, first by their MinHash values, which rule out what is surely less
 alike, then exactly; the texts of a crowd bring their shingles once per pair of blocks.
 Tasks give stars, so no pair is ever a row.
@@ -31,7 +31,7 @@ WORDS = 5
 SIMILAR = (4, 5)  # linked if the share of common shingles is 4/5 or more
 BANDS = 24
 ROWS = 4
-CENTRE_BANDS = (4, BANDS)
+CENTRE_BANDS = (1, 4)
 SHINGLES_AT_ONCE = 4096
 BLOCK_ROWS = 512  # texts of a crowd that are compared with as many others at once
 BLOCK_SHINGLES = 1 << 19
@@ -167,14 +167,28 @@ def _by_fingerprint(marked: DataFrame) -> DataFrame:
     return same.unionByName(near).distinct()
 
 
-def _block_pairs(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
     """Each row once for every pair of blocks of its group that its own is in: bi, bj, side.
 
-    ``sizes`` has the number of blocks of each group: (group, nb).
+    Rows of one label need no comparison among themselves. Those of the group's largest label
+    have blocks of their own, which only meet the blocks of the others.
     """
-    own = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("nb")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))
-    dealt = rows.join(sizes, group).withColumn("own", own).withColumn("other", other)
+    per = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    top = F.struct("c", "label")
+    sizes = per.groupBy(group).agg(
+        F.max_by("label", top).alias("main"), F.max("c").alias("cm"), F.sum("c").alias("ca"), F.max_by("w", top).alias("wm"), F.sum("w").alias("wa")
+    )
+
+    def blocks(count, weight):
+        return F.greatest(F.ceil(count / BLOCK_ROWS), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+
+    sizes = sizes.where("ca > cm").select(
+        group, "main", blocks(F.col("cm"), F.col("wm")).alias("nm"), blocks(F.col("ca") - F.col("cm"), F.col("wa") - F.col("wm")).alias("no")
+    )
+    place, largest = F.xxhash64(F.lit("block"), "id"), F.col("label") == F.col("main")
+    own = F.when(largest, F.col("no") + F.pmod(place, F.col("nm"))).otherwise(F.pmod(place, F.col("no"))).cast("int")
+    upto = F.when(largest, F.col("no")).otherwise(F.col("no") + F.col("nm"))
+    dealt = rows.join(sizes, group).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
     return dealt.select(
         *rows.columns, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
@@ -290,18 +304,16 @@ def _exactly(left, right, label, n, sig, held):
 
 def _across(rows: DataFrame, about: DataFrame, sets: DataFrame) -> DataFrame:
     """Stars of the links between texts that share a key but are in different groups yet: rows of (key, id, label)."""
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    sizes = mixed.select("key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb"))
-    open_rows = rows.join(about, "id").select("key", "id", "label", "n", "sig")
-    likely = checkpointed(_grouped(_block_pairs(open_rows, "key", sizes), "key", _likely))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_rows = rows.join(mixed, "key", "left_semi").join(about, "id").select("key", "id", "label", "n", "sig")
+    likely = checkpointed(_grouped(_block_pairs(open_rows, "key"), "key", _likely))
     if likely.isEmpty():
         return likely
     crowd = components(likely, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
     texts = crowd.join(rows.select("id", "label").distinct(), "id").join(about, "id")
     texts = checkpointed(texts.select("crowd", "id", "label", "n", "sig"))
-    sizes = texts.groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
-    held = texts.join(sets, "id").select("crowd", "id", "label", "n", "sig", "held")
-    return checkpointed(_grouped(_block_pairs(held, "crowd", sizes), "crowd", _exactly))
+    dealt = _block_pairs(texts, "crowd").join(sets, "id")
+    return checkpointed(_grouped(dealt, "crowd", _exactly))
 
 
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
