@@ -64,6 +64,17 @@ def _(spark, d):
     return out.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query("s8_replace_slice_in_place", ORACLE["s8_replace_slice"])
+def _(spark, d):
+    """The urgent orders of a table stored by priority are replaced on disk."""
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    path = shared_folder(spark, "orders")
+    tb.overwrite_table(orders, path, "o_orderpriority")
+    patch = orders.filter("o_orderpriority = '1-URGENT'").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(0.0)})
+    tb.replace_partitions(patch, path, "o_orderpriority")
+    return spark.read.schema(orders.schema).parquet(path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 _ALL = {
     "region": 2, "nation": 3, "supplier": 4, "customer": 5, "part": 6, "orders": 6,
     "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3,

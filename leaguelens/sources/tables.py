@@ -90,6 +90,15 @@ def replace_slice(df: DataFrame, patch: DataFrame, pred: str | Column) -> DataFr
     return df.filter(~F.coalesce(cond, F.lit(False))).unionByName(patch)
 
 
+def replace_partitions(patch: DataFrame, path: str, partition_by: Order) -> None:
+    """S8 in place: the partitions that the patch has rows of are replaced on disk, all others stay as they are.
+
+    A slice is one or more whole partitions. One the patch has no row of is not emptied.
+    """
+    writer = patch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*as_list(partition_by)).parquet(path)
+
+
 def export_mart(df: DataFrame, path: str, order: Order) -> None:
     """Write an ordered mart; file order follows the sort."""
     df.orderBy(*ordering(order)).write.mode("overwrite").parquet(path)

@@ -132,6 +132,19 @@ def test_scoring_frames_from_the_state(spark, tmp_path):
     assert _same(fe.scoring_frame_team(target, team_prices, dim_team, fe.team_features(teams, "team_id")), frames[1])
 
 
+def test_a_slice_is_replaced_in_place(spark, tmp_path):
+    from leaguelens.sources.tables import overwrite_table, replace_partitions
+
+    path = f"{tmp_path}/t"
+    overwrite_table(_rows(spark, (1, "a", 1), (2, "b", 2), (3, "b", 3), (4, None, 4)), path, "name")
+    before = set(spark.read.parquet(path).inputFiles())
+    replace_partitions(_rows(spark, (9, "b", 9), (10, "c", 10)), path, "name")
+    found = spark.read.schema(SCHEMA).parquet(path).select("k", "name", "v")
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1), (4, None, 4), (9, "b", 9), (10, "c", 10)]
+    kept = {f for f in before if "name=b" not in f}
+    assert kept <= set(spark.read.parquet(path).inputFiles())
+
+
 # ---- deliveries
 
 
