@@ -29,27 +29,41 @@ from leaguelens.plans.outcomes import (
     with_risk,
 )
 
-DRAWS_AT_ONCE = 1 << 20  # 8 MB each for a handful of arrays
+DRAWS_AT_ONCE = 1 << 17  # arrays of a megabyte, which a core keeps close
 SHARES = 16  # tasks that a profile's members are dealt to
 PRIME = (1 << 31) - 1
 STATS = ["n", "mean", "std", *[quantile_name(q) for q in QUANTILES]]
 
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo 2^31 - 1 for 0 <= x < 2^62, by adding its halves."""
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x >= PRIME, x - PRIME, x)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Adds the upper bits of x to its lower 31, in place: the same modulo 2^31 - 1, and smaller."""
+    upper = x >> 31
+    x &= PRIME
+    x += upper
+    return x
 
 
 def draw_indexes(key: np.ndarray, sims: np.ndarray, seed: int, size: np.ndarray) -> np.ndarray:
-    """The indexes of ``outcomes.draw_index``: one row per key, one column per simulation."""
-    key, size = key[:, None], size[:, None]
-    x = _mod(_mod(sims * 7919 + seed * 1299709) + _mod(key * 104729))
-    y = _mod(_mod(sims * 15485863 + seed * 49979687 + 1) + _mod(key * 32452843))
-    a = _mod(_mod(x * x) * x + key * 31 + sims)
-    b = _mod(_mod(y * y) * y + key + sims * 17)
-    return (a * PRIME + b) % size
+    """The indexes of ``outcomes.draw_index``: one row per key, one column per simulation.
+
+    Only the last step needs the least remainder; before it, two folds keep products below 2^63.
+    """
+    key = key[:, None]
+
+    def mixed(by_sim: np.ndarray, by_key: np.ndarray, more: np.ndarray) -> np.ndarray:
+        x = _fold(by_sim % PRIME + by_key % PRIME)
+        cube = _fold(_fold(x * x))
+        cube *= x
+        cube += more
+        _fold(_fold(cube))
+        cube -= PRIME * (cube >= PRIME)
+        return cube
+
+    out = mixed(sims * 7919 + seed * 1299709, key * 104729, key * 31 + sims)
+    out *= PRIME
+    out += mixed(sims * 15485863 + seed * 49979687 + 1, key * 32452843, key + sims * 17)
+    out %= size[:, None]
+    return out
 
 
 def _pools(scores: DataFrame, residual_rows: DataFrame) -> dict[str, np.ndarray] | None:
