@@ -846,6 +846,17 @@ def _(spark, d):
     return od.top_k_per_group(rows, "o_custkey", ["-o_totalprice", "o_orderkey"], 3)
 
 
+@query(
+    "t2_top_k_per_group_hot",
+    """SELECT o_orderstatus, o_orderkey, o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (
+PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 50""",
+)
+def _(spark, d):
+    """Few groups, each a large part of the table and spread over many partitions."""
+    rows = read_table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_totalprice")
+    return od.top_k_per_group(rows.repartition("o_orderkey"), "o_orderstatus", ["-o_totalprice", "o_orderkey"], 50)
+
+
 @query(
     "t3_last_n_keys",
     "SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id ORDER BY last_ts DESC, user_id DESC LIMIT 5",

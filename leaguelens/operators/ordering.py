@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.operators.common import Order, as_list, attach, number_rows, ordering
+from leaguelens.operators.common import Order, as_list, attach, number_rows, ordering, window
 
 
 def sort(df: DataFrame, keys: Order) -> DataFrame:
@@ -19,8 +19,22 @@ def top_k(df: DataFrame, col: str, k: int, tie: Order) -> DataFrame:
 
 
 def top_k_per_group(df, group, order, k: int) -> DataFrame:
-    """First ``k`` rows of each group."""
-    return number_rows(df, group, order, "__rn").filter(F.col("__rn") <= k).drop("__rn")
+    """First ``k`` rows of each group by ``order``, which must be total.
+
+    In two steps: the first ``k`` of each (group, salt), then of each group. The salt is the
+    number of the input partition, folded to the number of shuffle partitions. Every partition
+    passes on at most ``k`` rows of a group, a hot group's meet in as many tasks as there are
+    salts, and ``k`` rows of each salt meet at last. Neither a count nor a full sort is needed.
+    """
+    group = as_list(group)
+    if not group:
+        return df.orderBy(*ordering(order)).limit(k)
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("__salt", F.spark_partition_id() % salts)
+    for keys in ([*group, "__salt"], group):
+        first = F.row_number().over(window(keys, order))
+        salted = salted.withColumn("__rn", first).filter(F.col("__rn") <= k).drop("__rn")
+    return salted.drop("__salt")
 
 
 def best_row(df: DataFrame, keys: Order, order: Order, last: bool = False) -> DataFrame:

@@ -69,14 +69,22 @@ def check_grain(df: DataFrame, keys: Order) -> DataFrame:
     return df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
 
 
-def check_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
-    """V5: rows with a value outside [lo, hi]; NULL is not judged."""
+def _outside(col: str, lo, hi) -> Column:
     bad = F.lit(False)
     if lo is not None:
         bad = bad | (F.col(col) < lo)
     if hi is not None:
         bad = bad | (F.col(col) > hi)
-    return df.filter(bad)
+    return bad
+
+
+def _unresolved(id_cols: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in id_cols])
+
+
+def check_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
+    """V5: rows with a value outside [lo, hi]; NULL is not judged."""
+    return df.filter(_outside(col, lo, hi))
 
 
 def check_coverage(df: DataFrame, group: Order, key: str, min_n: int) -> DataFrame:
@@ -89,7 +97,7 @@ def check_coverage(df: DataFrame, group: Order, key: str, min_n: int) -> DataFra
 
 def check_resolved(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """V7: rows with an unresolved reference."""
-    return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in id_cols]))
+    return df.filter(_unresolved(id_cols))
 
 
 def check_join_coverage(df: DataFrame, group: Order, col: str) -> DataFrame:
@@ -121,46 +129,70 @@ def check_leakage(df: DataFrame, cols: Sequence[str], name: str = "table") -> Da
     )
 
 
+def _tally(df: DataFrame, table: str, rules: list[tuple[str, str | None, Column]]) -> DataFrame:
+    """Findings (check, column, aggregate) whose count is above zero, in one pass over ``df``."""
+    cells = [
+        F.struct(F.lit(check).alias("check_name"), F.lit(col).cast("string").alias("column_name"), n.cast("long").alias("n_bad"))
+        for check, col, n in rules
+    ]
+    out = df.agg(F.array(*cells).alias("__found")).select(F.inline("__found")).filter("n_bad > 0")
+    return out.select(F.lit(table).alias("table_name"), "check_name", "column_name", "n_bad")
+
+
+def _row_rules(df: DataFrame, rules: dict) -> list[tuple[str, str | None, Column]]:
+    """The rules that judge single rows, each as one aggregate of the whole table."""
+    rows = F.count(F.lit(1))
+    out = [("not_empty", None, (rows == 0).cast("long"))]
+    out += [("required_column", c, F.greatest(rows, F.lit(1))) for c in rules.get("columns", ()) if c not in df.columns]
+    out += [
+        ("column_whitespace", c, F.greatest(F.count(F.col(f"`{c}`")), F.lit(1))) for c in df.columns if c != c.strip()
+    ]
+    out += [("not_null", c, F.count_if(F.col(c).isNull())) for c in rules.get("not_null", ()) if c in df.columns]
+    for col, (lo, hi) in rules.get("range", {}).items():
+        out.append(("range", col, F.count_if(_outside(col, lo, hi))))
+    if "resolved" in rules:
+        out.append(("resolved", None, F.count_if(_unresolved(rules["resolved"]))))
+    return out
+
+
+def _group_rules(rules: dict) -> dict[tuple, list[tuple[str, str | None, Column, Column]]]:
+    """The rules that judge groups, by group columns: (check, column, aggregate of a group, when it is bad)."""
+    out: dict[tuple, list] = {}
+    if "grain" in rules:
+        n = F.count(F.lit(1))
+        out.setdefault(tuple(as_list(rules["grain"])), []).append(("grain", None, n, F.col("__grain") > 1))
+    if "coverage" in rules:
+        group, key, least = rules["coverage"]
+        out.setdefault(tuple(as_list(group)), []).append(
+            ("coverage", None, F.count_distinct(key), F.col("__coverage") < least)
+        )
+    if "filled" in rules:
+        group, col = rules["filled"]
+        out.setdefault(tuple(as_list(group)), []).append(("filled", col, F.count(col), F.col("__filled") == 0))
+    return out
+
+
 def run_suite(tables: dict[str, DataFrame], spec: dict[str, dict]) -> DataFrame:
     """All declared checks as one finding table.
 
     ``spec[table]`` may hold ``columns``, ``not_null``, ``grain``, ``range``
     (``{col: (lo, hi)}``), ``coverage`` (``(group, key, min_n)``), ``filled``
-    (``(group, col)``: groups where the column is never filled) and ``resolved``. Schema checks cost nothing; the rest stay one lazy query.
+    (``(group, col)``: groups where the column is never filled) and ``resolved``.
+
+    All rules about single rows of a table are one aggregate over it, and rules about
+    groups of the same columns share one grouped aggregate: a table is read once, plus once
+    for each set of group columns, however many rules it has. Nothing runs until the findings are read.
     """
     spark = next(iter(tables.values())).sparkSession
-    out = [check_exists_nonempty(spark, tables, list(spec))]
-
-    def tally(bad: DataFrame, table: str, check: str, column: str | None = None):
-        out.append(
-            bad.agg(F.count(F.lit(1)).alias("n_bad"))
-            .filter("n_bad > 0")
-            .select(
-                F.lit(table).alias("table_name"),
-                F.lit(check).alias("check_name"),
-                F.lit(column).cast("string").alias("column_name"),
-                "n_bad",
-            )
-        )
-
+    out = [findings(spark, [(name, "exists", None, 1) for name in spec if name not in tables])]
     for table, rules in spec.items():
         if table not in tables:
             continue
         df = tables[table]
-        out.append(check_columns(df, rules.get("columns", ()), table))
-        known = [c for c in rules.get("not_null", ()) if c in df.columns]
-        if known:
-            out.append(check_not_null(df, known, table))
-        if "grain" in rules:
-            tally(check_grain(df, rules["grain"]), table, "grain")
-        for col, (lo, hi) in rules.get("range", {}).items():
-            tally(check_range(df, col, lo, hi), table, "range", col)
-        if "coverage" in rules:
-            tally(check_coverage(df, *rules["coverage"]), table, "coverage")
-        if "filled" in rules:
-            tally(check_join_coverage(df, *rules["filled"]), table, "filled", rules["filled"][1])
-        if "resolved" in rules:
-            tally(check_resolved(df, rules["resolved"]), table, "resolved")
+        out.append(_tally(df, table, _row_rules(df, rules)))
+        for group, judged in _group_rules(rules).items():
+            groups = df.groupBy(*group).agg(*[n.alias(f"__{check}") for check, _, n, _ in judged])
+            out.append(_tally(groups, table, [(check, col, F.count_if(bad)) for check, col, _, bad in judged]))
     return reduce(DataFrame.unionByName, out)
 
 

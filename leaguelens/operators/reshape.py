@@ -63,6 +63,13 @@ def unpivot_sheet(df: DataFrame, id_col: str, var: str, value: str, source: str)
     return long.withColumn("source_sheet", F.lit(source))
 
 
+def tidy_header(name: str) -> str:
+    try:
+        return str(int(float(name.strip())))
+    except ValueError:
+        return "_".join(name.strip().lower().split())
+
+
 def standardize_headers(df: DataFrame, first_col: str) -> DataFrame:
     """Drop empty ``Unnamed`` columns, name the first column, tidy the others.
 
@@ -73,13 +80,7 @@ def standardize_headers(df: DataFrame, first_col: str) -> DataFrame:
         filled = df.agg(*[F.count(f"`{c}`").alias(c) for c in unnamed]).first()
         df = df.drop(*[c for c in unnamed if filled[c] == 0])
 
-    def tidy(name: str) -> str:
-        try:
-            return str(int(float(name.strip())))
-        except ValueError:
-            return "_".join(name.strip().lower().split())
-
-    return df.toDF(first_col, *[tidy(c) for c in df.columns[1:]])
+    return df.toDF(first_col, *[tidy_header(c) for c in df.columns[1:]])
 
 
 def pivot_fill(df, rows: Order, col: str, agg: Column, values: Sequence, fill=0) -> DataFrame:
