@@ -34,6 +34,7 @@ from leaguelens.operators.common import (
 )
 from leaguelens.operators.ordering import best_row, dense_index
 from leaguelens.operators.windows import forward_fill, group_max
+from leaguelens.plans.rating_log import StateLog
 from leaguelens.session import checkpointed, shared_folder
 
 PERIOD_ROWS = 5_000  # entities of one period a task may compare directly
@@ -205,15 +206,17 @@ def rating_step(
     entity: str,
     params: RatingParams = RatingParams(),
     period_rows: int = PERIOD_ROWS,
+    clock: DataFrame | None = None,
 ) -> DataFrame:
     """Rate one period per pool against the state before it.
 
     ``state`` holds pool, entity, rating, last_season and changes, the number
     of season changes its pool had seen by then. A season change shrinks all
-    known ratings; that is applied here when an entity returns.
+    known ratings; that is applied here when an entity returns. ``clock`` has the
+    newest last_season and changes of each pool where ``state`` holds some entities only.
     """
     pool = as_list(pool)
-    clock = state.groupBy(*pool).agg(
+    clock = (state if clock is None else clock).groupBy(*pool).agg(
         F.max("last_season").alias("__prev"), F.max("changes").alias("__changes")
     )
     rows = attach(results, clock, pool)
@@ -293,7 +296,10 @@ def _fold(entity: str, params: RatingParams):
 
 
 def _by_period(rows: DataFrame, pool: list[str], entity: str, params, period_rows) -> DataFrame:
-    """One Spark job per period; every step is a written table, so a lost executor costs one step."""
+    """One Spark job per period; every step is a written table, so a lost executor costs one step.
+
+    The state is a log of what each period changed, see ``rating_log``.
+    """
     spark = rows.sparkSession
     home = shared_folder(spark, "rating")
     steps = dense_index(rows, [], "__order", "__step").drop("__order")
@@ -301,16 +307,14 @@ def _by_period(rows: DataFrame, pool: list[str], entity: str, params, period_row
     results = spark.read.parquet(f"{home}/results")
     last = results.agg(F.max("__step")).first()[0] or 0
     schema = rows.drop("__order").schema
-    state = empty_state(rows, pool, entity)
+    log = StateLog(spark, f"{home}/state", empty_state(rows, pool, entity).schema, pool, entity)
     for step in range(1, last + 1):
         one = spark.read.schema(schema).parquet(f"{home}/results/__step={step}")
         if one.groupBy(*pool, "season", "period_id", entity).count().filter("count > 1").limit(1).count():
             raise ValueError(f"repeated {entity} in a period")
-        rated = rating_step(state, one, pool, entity, params, period_rows)
+        rated = rating_step(log.latest(one), one, pool, entity, params, period_rows, log.clock())
         rated.write.parquet(f"{home}/rated/__step={step}")
-        rated = spark.read.schema(rated.schema).parquet(f"{home}/rated/__step={step}")
-        next_state(state, rated, pool, entity).write.parquet(f"{home}/state/{step}")
-        state = spark.read.schema(state.schema).parquet(f"{home}/state/{step}")
+        log.add(spark.read.schema(rated.schema).parquet(f"{home}/rated/__step={step}"))
     return spark.read.parquet(f"{home}/rated").select(*[f.name for f in schema], *RATING_COLUMNS)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from leaguelens.operators.common import Order, as_list
-from leaguelens.plans.rating import PERIOD_ROWS, RatingParams, empty_state, next_state, rating_step
+from leaguelens.plans.rating import PERIOD_ROWS, RatingParams, empty_state, rating_step
+from leaguelens.plans.rating_log import MANIFEST, StateLog, runs_of
 
 
 def _time() -> Column:
@@ -23,6 +24,7 @@ class _Home:
         self.spark, self.path, self.schema = spark, path, schema
         self.pool, self.entity = as_list(pool), entity
         self.state_schema = empty_state(spark.createDataFrame([], schema), self.pool, entity).schema
+        self.manifest_schema = T.StructType.fromDDL(MANIFEST)
         self.closed_schema = T.StructType([schema["season"], schema["period_id"]])
 
     def write(self, df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -39,20 +41,21 @@ class _Home:
         """A time as a value to compare ``_time`` with."""
         return F.struct(*[F.lit(time[f.name]).cast(f.dataType) for f in self.closed_schema])
 
-    def rate(self, rows: DataFrame, state: DataFrame, into: str, params: RatingParams, period_rows: int) -> DataFrame:
-        """Rate whole periods in order and return the state after them."""
+    def log(self, batch_id: int, into: int | None = None) -> StateLog:
+        """The state after a batch, whose next runs belong to batch ``into``."""
+        runs = runs_of(self.read("log", batch_id, self.manifest_schema))
+        return StateLog(self.spark, f"{self.path}/state/{into}", self.state_schema, self.pool, self.entity, runs)
+
+    def rate(self, rows: DataFrame, log: StateLog, into: str, params: RatingParams, period_rows: int) -> None:
+        """Rate whole periods in order and add them to the state."""
         # calendar-sized: the periods of one batch
         periods = rows.select("season", "period_id").distinct().orderBy("season", "period_id").collect()
         for season, period in periods:
             one = rows.filter((F.col("season") == season) & (F.col("period_id") == period))
             if not one.groupBy(*self.pool, self.entity).count().filter("count > 1").isEmpty():
                 raise ValueError(f"repeated {self.entity} in period {period} of season {season}")
-            rated = rating_step(state, one, self.pool, self.entity, params, period_rows)
-            rated = self.write(rated, f"{into}/period={season}-{period}")
-            state = self.write(
-                next_state(state, rated, self.pool, self.entity), f"steps/{into}/{season}-{period}", self.state_schema
-            )
-        return state
+            rated = rating_step(log.latest(one), one, self.pool, self.entity, params, period_rows, log.clock())
+            log.add(self.write(rated, f"{into}/period={season}-{period}"))
 
 
 def stream_rating(
@@ -68,9 +71,9 @@ def stream_rating(
 
     A period is rated once a row of a later one has been seen; until then its rows wait,
     so it may be spread over batches. A row of a period that is rated already, and an
-    entity twice in a period, raise. Every batch writes its ratings, the state after
-    them and the rows that wait under its own id, and starts from those of the batch
-    before; a replayed batch overwrites what it wrote. ``open_ratings`` rates what waits.
+    entity twice in a period, raise. Every batch writes its ratings, what they change in the
+    state (``rating_log``) and the rows that wait under its own id, and starts from those of the
+    batch before; a replayed batch overwrites what it wrote. ``open_ratings`` rates what waits.
     """
     files = _Home(stream.sparkSession, home, stream.schema, pool, entity)
 
@@ -84,10 +87,10 @@ def stream_rating(
                 raise ValueError(f"late result: {late[0].asDict()} after period {closed['period_id']} was rated")
         rows = batch.unionByName(files.read("waiting", batch_id - 1, files.schema))
         newest = rows.agg(F.max(_time())).first()[0]
-        state = files.read("state", batch_id - 1, files.state_schema)
+        log = files.log(batch_id - 1, into=batch_id)
         if newest is not None:
             last = files.at(newest)
-            state = files.rate(rows.filter(_time() < last), state, f"rated/batch={batch_id}", params, period_rows)
+            files.rate(rows.filter(_time() < last), log, f"rated/batch={batch_id}", params, period_rows)
             before = rows.filter(_time() < last).select("season", "period_id").distinct()
             rows = rows.filter(_time() == last)
         else:
@@ -95,7 +98,7 @@ def stream_rating(
         earlier = files.read("closed", batch_id - 1, files.closed_schema)
         files.write(rows, f"waiting/{batch_id}")
         files.write(before.unionByName(earlier).agg(F.max(_time()).alias("t")).select("t.*"), f"closed/{batch_id}")
-        files.write(state, f"state/{batch_id}")
+        files.write(log.manifest(), f"log/{batch_id}", files.manifest_schema)
 
     return (
         stream.writeStream.foreachBatch(rate)
@@ -117,5 +120,5 @@ def open_ratings(
 ) -> DataFrame:
     """Ratings of the period that still waits after a batch; what the stream holds stays as it is."""
     files = _Home(spark, home, schema, pool, entity)
-    waiting, state = files.read("waiting", batch_id, schema), files.read("state", batch_id, files.state_schema)
-    return rating_step(state, waiting, files.pool, entity, params, period_rows)
+    waiting, log = files.read("waiting", batch_id, schema), files.log(batch_id)
+    return rating_step(log.latest(waiting), waiting, files.pool, entity, params, period_rows, log.clock())
