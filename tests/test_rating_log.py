@@ -6,9 +6,15 @@ from pyspark.sql import types as T
 
 from leaguelens.plans.rating_log import FAN, MANIFEST, StateLog, runs_of
 
-STATE = (
-    T.StructType().add("pool", "string").add("entity", "int").add("rating", "double").add("last_season", "int").add("changes", "int")
-)
+STATE = T.StructType(
+    [
+        T.StructField(name, kind())
+        for name, kind in [
+            ("pool", T.StringType), ("entity", T.IntegerType), ("rating", T.DoubleType),
+            ("last_season", T.IntegerType), ("changes", T.IntegerType),
+        ]
+    ]
+)
 RATED = "pool string, entity int, rating_after double, season int, changes int"
 
 
