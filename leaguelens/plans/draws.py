@@ -1,6 +1,6 @@
 """Bootstrapped outcomes whose draws stay inside a row.
 
-The residuals of a bucket are one sorted array. A score's draws are indexes into it, made,
+The residuals of a bucket are one sorted array (``pools``). A score's draws are indexes into it, made,
 sorted and read inside the task that holds the score: no draw is a row and none is shuffled.
 A selection's points per simulation are sums of such arrays, first over the members that a
 task holds, then over the few partial sums. The same draws as ``outcomes.bootstrap_outcomes``.
@@ -12,88 +12,33 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from leaguelens.operators.aggregates import QUANTILES, quantile_name
 from leaguelens.operators.common import Order, as_list, spread
-from leaguelens.plans.outcomes import (
-    BROADCAST_ROWS,
-    OUTCOME_KEYS,
-    bootstrap_outcomes,
-    selection_outcomes,
-    summarize_outcomes,
-    summarize_selections,
-    with_risk,
-)
-
-DRAWS_AT_ONCE = 1 << 17  # arrays of a megabyte, which a core keeps close
+from leaguelens.plans.outcomes import BROADCAST_ROWS, OUTCOME_KEYS, with_risk
+from leaguelens.plans.pools import PRIME, Draws, FiledPools, SentPools, blocks, draw_key, file_pools, rows_at_once
+
+DRAWS_AT_ONCE = 1 << 16  # arrays of half a megabyte, which a core keeps close
 SHARES = 16  # tasks that a profile's members are dealt to
-PRIME = (1 << 31) - 1
 STATS = ["n", "mean", "std", *[quantile_name(q) for q in QUANTILES]]
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
-    """Adds the upper bits of x to its lower 31, in place: the same modulo 2^31 - 1, and smaller."""
-    upper = x >> 31
-    x &= PRIME
-    x += upper
-    return x
-
-
-def draw_indexes(key: np.ndarray, sims: np.ndarray, seed: int, size: np.ndarray) -> np.ndarray:
-    """The indexes of ``outcomes.draw_index``: one row per key, one column per simulation.
-
-    Only the last step needs the least remainder; before it, two folds keep products below 2^63.
-    """
-    key = key[:, None]
-
-    def mixed(by_sim: np.ndarray, by_key: np.ndarray, more: np.ndarray) -> np.ndarray:
-        x = _fold(by_sim % PRIME + by_key % PRIME)
-        cube = _fold(_fold(x * x))
-        cube *= x
-        cube += more
-        _fold(_fold(cube))
-        cube -= PRIME * (cube >= PRIME)
-        return cube
-
-    out = mixed(sims * 7919 + seed * 1299709, key * 104729, key * 31 + sims)
-    out *= PRIME
-    out += mixed(sims * 15485863 + seed * 49979687 + 1, key * 32452843, key + sims * 17)
-    out %= size[:, None]
-    return out
-
-
-def _pools(scores: DataFrame, residual_rows: DataFrame) -> dict[str, np.ndarray] | None:
-    """Sorted residuals per bucket; None if there are too many to send."""
+def _pools(scores: DataFrame, residual_rows: DataFrame) -> SentPools | FiledPools:
+    """Sorted residuals per bucket: sent if they are few, else in files that the tasks read."""
     bucket = "prediction_bucket"
-    sizes = {r[0]: r[1] for r in residual_rows.groupBy(bucket).count().limit(BROADCAST_ROWS + 1).collect()}
-    if sum(sizes.values()) > BROADCAST_ROWS:
-        return None
+    sizes = dict(residual_rows.groupBy(bucket).count().collect())  # one entry per band
     unknown = scores.select(bucket).distinct().where(~F.col(bucket).isin(list(sizes)) | F.col(bucket).isNull()).limit(10).collect()
     if unknown:
         raise KeyError(f"no residuals for {[r[0] for r in unknown]}")
+    if sum(sizes.values()) > BROADCAST_ROWS:
+        return file_pools(residual_rows, sizes)
     rows = residual_rows.select(bucket, F.col("residual").cast("double")).toPandas()
-    return {name: np.sort(part.to_numpy(np.float64)) for name, part in rows.groupby(bucket)["residual"]}
-
-
-def _key() -> Column:
-    return F.pmod(F.col("entity_id") * 613 + F.col("period_id"), F.lit(PRIME)).cast("long")
-
-
-def _blocks(keys: np.ndarray, buckets: list[str], pools: dict, n_sims: int, seed: int):
-    """(rows, pool, indexes) of rows of one bucket, as many at once as memory allows."""
-    sims = np.arange(n_sims, dtype=np.int64)
-    names = np.array(buckets, object)
-    step = max(1, DRAWS_AT_ONCE // n_sims)
-    for name in sorted(set(buckets)):
-        rows = np.flatnonzero(names == name)
-        pool = pools[name]
-        for at in range(0, len(rows), step):
-            part = rows[at : at + step]
-            yield part, pool, draw_indexes(keys[part], sims, seed, np.full(len(part), len(pool), np.int64))
+    pools = {name: np.sort(part.to_numpy(np.float64)) for name, part in rows.groupby(bucket)["residual"]}
+    return SentPools(scores.sparkSession.sparkContext.broadcast(pools))
 
 
 def _quantiles(ordered: np.ndarray) -> list[np.ndarray]:
@@ -118,25 +63,25 @@ def outcome_summaries(
 ) -> DataFrame:
     """G13 and G14 in one: the distribution of ``n_sims`` outcomes of every score.
 
-    One row per (period, entity) is expected, as ``summarize_outcomes`` returns. Pools of
-    more than ``BROADCAST_ROWS`` residuals are drawn from by a join instead.
+    One row per (period, entity) is expected, as ``summarize_outcomes`` returns.
     """
     scores = scores.filter(F.col("predicted_points").isNotNull())
     pools = _pools(scores, residual_rows)
-    if pools is None:
-        return summarize_outcomes(bootstrap_outcomes(scores, residual_rows, n_sims, seed), keys)
-    sent = scores.sparkSession.sparkContext.broadcast(pools)
+    step = rows_at_once(pools, n_sims, DRAWS_AT_ONCE)
 
     def run(batches):
+        draws = Draws(n_sims, seed)
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column("__key").to_numpy()
             start = batch.column("predicted_points").cast(pa.float64()).to_numpy()
             out = np.zeros((len(STATS), batch.num_rows))
-            for rows, pool, index in _blocks(key, batch.column("prediction_bucket").to_pylist(), sent.value, n_sims, seed):
+            for rows, name, index in blocks(key, batch.column("prediction_bucket").to_pylist(), pools, draws, step):
+                if pools.size(name) <= PRIME:
+                    index = index.astype(np.int32)  # sorts faster
                 index.sort(axis=1)  # the pool is sorted, so are the values
-                values = pool[index]
+                values = pools.values(name, index.astype(np.int64))
                 found = _stats(values) + _quantiles(values)
                 for k, v in enumerate(found):
                     out[k, rows] = v if k in (0, 2) else v + start[rows]
@@ -144,7 +89,7 @@ def outcome_summaries(
             kept = [batch.column(c) for c in keys]
             yield pa.RecordBatch.from_arrays(kept + columns, names=[*keys, *STATS])
 
-    rows = spread(scores, list(keys)[:2]).select(*keys, _key().alias("__key"))
+    rows = spread(scores, list(keys)[:2]).select(*keys, draw_key().alias("__key"))
     schema = T.StructType([*[scores.schema[c] for c in keys], T.StructField("n", T.LongType())])
     schema = T.StructType([*schema, *[T.StructField(c, T.DoubleType()) for c in STATS[1:]]])
     named = {"mean": "mean_simulated_points", "std": "std_simulated_points"}
@@ -167,34 +112,33 @@ def selection_summaries(
     profile = as_list(profile)
     scores = scores.filter(F.col("predicted_points").isNotNull())
     pools = _pools(scores, residual_rows)
-    if pools is None:
-        sims = bootstrap_outcomes(scores, residual_rows, n_sims, seed)
-        return summarize_selections(selection_outcomes(sims, selection, profile), profile)
+    step = rows_at_once(pools, n_sims, DRAWS_AT_ONCE)
     on = [c for c in selection.columns if c in scores.columns]
     members = scores.join(selection.select(*{*profile, *on}).distinct(), on)
-    sent = scores.sparkSession.sparkContext.broadcast(pools)
     names = [f"__p{k}" for k in range(len(profile))]
 
     def partial(batches):
         """Sums of the rows of each profile, which come sorted by it."""
-        current, total, seen = None, None, 0
+        draws, current, total, seen = Draws(n_sims, seed), None, None, 0
         for batch in batches:
             groups = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             key = batch.column("__key").to_numpy()
             start = batch.column("predicted_points").cast(pa.float64()).to_numpy()
             bucket = batch.column("prediction_bucket").to_pylist()
-            cuts = [0, *[k for k in range(1, len(groups)) if groups[k] != groups[k - 1]], len(groups)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                if low == high:
-                    continue
-                if groups[low] != current:
-                    if seen:
-                        yield _row(current, total)
-                    current, total, seen = groups[low], np.zeros(n_sims), 0
-                for _, pool, index in _blocks(key[low:high], bucket[low:high], sent.value, n_sims, seed):
-                    total += pool[index].sum(axis=0)
-                total += start[low:high].sum()
-                seen += high - low
+            for at in range(0, len(groups), step):
+                end = min(at + step, len(groups))
+                values = np.empty((end - at, n_sims))
+                for rows, name, index in blocks(key[at:end], bucket[at:end], pools, draws, step):
+                    values[rows] = pools.values(name, index)
+                cuts = [at, *[k for k in range(at + 1, end) if groups[k] != groups[k - 1]], end]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if groups[low] != current:
+                        if seen:
+                            yield _row(current, total)
+                        current, total, seen = groups[low], np.zeros(n_sims), 0
+                    total += values[low - at : high - at].sum(axis=0)
+                    total += start[low:high].sum()
+                    seen += high - low
         if seen:
             yield _row(current, total)
 
@@ -217,7 +161,7 @@ def selection_summaries(
 
     fields = [T.StructField(n, kind) for n, kind in zip(names, kinds, strict=True)]
     rows = members.select(
-        *[F.col(c).alias(n) for c, n in zip(profile, names, strict=True)], _key().alias("__key"), "predicted_points", "prediction_bucket"
+        *[F.col(c).alias(n) for c, n in zip(profile, names, strict=True)], draw_key().alias("__key"), "predicted_points", "prediction_bucket"
     )
     dealt = spread(rows.withColumn("__share", F.pmod(F.xxhash64("__key"), F.lit(SHARES))), [*names, "__share"])
     sums = dealt.sortWithinPartitions(*names).drop("__share").mapInArrow(partial, T.StructType([*fields, T.StructField("sums", T.BinaryType())]))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leaguelens.plans import draws
+from leaguelens.plans import draws, pools
 from leaguelens.plans import outcomes as oc
 
 
@@ -70,3 +70,36 @@ def test_missing_buckets_and_empty_scores(spark):
     with pytest.raises(KeyError):
         draws.outcome_summaries(scores, residuals.where("prediction_bucket = '00_20'"), 10)
     assert draws.outcome_summaries(scores.limit(0), residuals, 10).count() == 0
+
+
+def _many(monkeypatch):
+    """Pools count as too many to send."""
+    monkeypatch.setattr(draws, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(oc, "BROADCAST_ROWS", 10)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_residuals_are_read_in_tasks(spark, monkeypatch):
+    scores, residuals = _scores(spark), _residuals(spark)
+    members = scores.select(F.concat(F.lit("p"), F.col("entity_id") % 2).alias("profile"), "period_id", "entity_id")
+    few = draws.selection_summaries(scores, residuals, members, n_sims=50, seed=3)
+    _many(monkeypatch)
+    many = draws.selection_summaries(scores, residuals, members, n_sims=50, seed=3)
+    assert "Generate" not in _plan(many) and _plan(many).count("Join") == _plan(few).count("Join")
+    assert "Join" not in _plan(draws.outcome_summaries(scores, residuals, 10_000, 3))
+    _close(few, many)
+
+
+def test_residuals_beyond_a_worker_are_read_by_pieces(spark, monkeypatch):
+    scores, residuals = _scores(spark), _residuals(spark)
+    members = scores.select(F.lit("all").alias("profile"), "period_id", "entity_id")
+    want = draws.outcome_summaries(scores, residuals, 30, 3), draws.selection_summaries(scores, residuals, members, n_sims=30, seed=3)
+    _many(monkeypatch)
+    monkeypatch.setattr(pools, "HELD_ROWS", 10)
+    monkeypatch.setattr(pools, "CHUNK_ROWS", 70)
+    monkeypatch.setattr(pools, "DRAWS_PER_READ", 200)
+    _close(want[0], draws.outcome_summaries(scores, residuals, 30, 3))
+    _close(want[1], draws.selection_summaries(scores, residuals, members, n_sims=30, seed=3))
