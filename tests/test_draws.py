@@ -103,3 +103,16 @@ def test_residuals_beyond_a_worker_are_read_by_pieces(spark, monkeypatch):
     monkeypatch.setattr(pools, "DRAWS_PER_READ", 200)
     _close(want[0], draws.outcome_summaries(scores, residuals, 30, 3))
     _close(want[1], draws.selection_summaries(scores, residuals, members, n_sims=30, seed=3))
+
+
+@pytest.mark.parametrize("plan", [{}, {"max_group_rows": 0}])
+def test_draws_as_rows_are_not_shuffled(spark, monkeypatch, plan):
+    scores, residuals = _scores(spark), _residuals(spark)
+    want = oc.bootstrap_outcomes(scores, residuals, 20, 3)
+    _many(monkeypatch)
+    got = oc.bootstrap_outcomes(scores, residuals, 20, 3, **plan)
+    assert got.columns == want.columns and "Join" not in _plan(got) and _plan(got).count("Exchange") == 1
+    a, b = (df.orderBy("period_id", "entity_id", "simulation_id").toPandas() for df in (want, got))
+    assert len(a) == len(b) == 39 * 20
+    for c in ("entity_id", "simulation_id", "team_id", "sampled_residual", "simulated_points"):
+        np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-12)
