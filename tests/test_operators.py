@@ -385,3 +385,23 @@ def test_every_regressor_fits_and_explains(spark):
     assert top[0]["feature"] == "x" and [r["abs_value"] for r in top] == sorted((r["abs_value"] for r in top), reverse=True)
     scored = ml.score(model, df.drop("points", "c"), feats)
     assert scored.count() == 160 and "predicted_points" in scored.columns
+
+
+def test_medians_are_the_lower_and_exact(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(rng.choice([None, float("nan"), rng.gauss(0, 9)]), float(i % 3), float(-i)) for i in range(999)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(3)
+    known = [sorted(v for v in of if v is not None and v == v) for of in zip(*data, strict=True)]
+    want = {c: of[(len(of) - 1) // 2] for c, of in zip("abc", known, strict=True)}
+    assert ml.lower_medians(df, ["a", "b", "c"]) == want
+    monkeypatch.setattr(ml, "SKETCH", 0.0)
+    assert ml.lower_medians(df, ["a", "b", "c"]) == want
+
+
+def test_preprocessing_is_fitted_once_a_fold(spark, monkeypatch):
+    df = spark.createDataFrame([(2020, i // 10, i, float(i % 7), float(i % 5)) for i in range(120)], "season int, period_id int, entity_id int, x double, points double")
+    calls = []
+    found = ml.lower_medians
+    monkeypatch.setattr(ml, "lower_medians", lambda *a: calls.append(1) or found(*a))
+    ml.fit_and_rank(ml.make_regressors(["Linear", "Lasso"]), df, ml.Features(["x"]), folds=2)
+    assert len(calls) == 4  # two folds, the test and the last fit, whatever the number of models
