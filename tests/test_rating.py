@@ -175,3 +175,24 @@ def test_expand_rating_carries_and_defaults(spark):
     assert out[(7, 2)] == (1500.0, 8.0, 1508.0)
     assert out[(7, 3)] == (1508.0, 0.0, 1508.0)
     assert out[(8, 1)] == (1500.0, 0.0, 1500.0)
+
+
+def test_large_periods_are_rated_within_a_task(spark):
+    rng = np.random.default_rng(8)
+    rating = np.r_[rng.normal(1500, 300, 4000), rng.normal(-40_000, 900, 2500)]
+    with np.errstate(over="ignore"):
+        want = rt.expected_directly(rating, 400.0)
+    np.testing.assert_allclose(rt.expected_in_task(rating, 400.0), want, atol=1e-8)
+    df = spark.createDataFrame([(1, k, float(k), float(r)) for k, r in enumerate(rating)], "period_id int, entity int, rating_position double, rating_before double")
+    out = rt.matchup_totals(df, "period_id", "entity")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = out.orderBy("entity").toPandas()
+    np.testing.assert_allclose(got["expected"], want, atol=1e-8)
+
+
+def test_state_is_not_broadcast(spark):
+    schema = "pool int, entity long, season int, period_id int, rating_position double"
+    one = spark.createDataFrame([(1, 1, 2020, 1, 1.0), (1, 2, 2020, 1, 2.0)], schema)
+    state = rt.empty_state(one, "pool", "entity")
+    plan = rt.rating_step(state, one, "pool", "entity", clock=state)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
