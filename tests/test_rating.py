@@ -193,6 +193,6 @@ def test_large_periods_are_rated_within_a_task(spark):
 def test_state_is_not_broadcast(spark):
     schema = "pool int, entity long, season int, period_id int, rating_position double"
     one = spark.createDataFrame([(1, 1, 2020, 1, 1.0), (1, 2, 2020, 1, 2.0)], schema)
-    state = rt.empty_state(one, "pool", "entity")
+    state = spark.range(1, 3).selectExpr("1 AS pool", "id AS entity", "1510.0D AS rating", "2019 AS last_season", "0 AS changes")
     plan = rt.rating_step(state, one, "pool", "entity", clock=state)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
